@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .bpe import op10_byte_bpe
+from .langid import op1_langid
+from .ledger import op2_secret_ledger
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable]:
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {f.__name__: f for f in (op1_langid, op2_secret_ledger, op3_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,8 +35,8 @@ CACHE_WORDS = 400_000
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word and of its beginnings of four to six characters."""
-    names = ["w" + word, *(f"{n}{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
+    """Buckets of a word and of its beginnings of four to seven characters."""
+    names = ["w" + word, *(f"{n}{word[:n]}" for n in (4, 5, 6, 7) if len(word) >= n)]
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << FEATURE_BITS) - 1) for x in names]
 
 
@@ -84,7 +84,7 @@ class ToxicityModel:
         return float(-np.expm1(-total)), found
 
 
-def fit(texts: list[str], labels: list[int], *, steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], *, steps: int = 400, rate: float = 0.1, l2: float = 2e-5) -> ToxicityModel:
     """Full-batch Adam on the noisy-or likelihood over bags of sentences."""
     y = np.array(labels, float)
     none = ToxicityModel(np.zeros(1 << FEATURE_BITS, np.float32), -50.0)
@@ -97,12 +97,23 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 300, rate: float =
             of_word[w] = features(w)
         return of_word[w]
 
+    kept = dict(zip(texts, labels, strict=True))  # copies count once
+    texts, labels = list(kept), list(kept.values())
+    y = np.array(labels, float)
     bags = [[WORD.findall(m.group()) for m in SENTENCE.finditer(t.lower())] for t in texts]
     df = [Counter(), Counter()]
     for bag, c in zip(bags, labels, strict=True):
         df[int(c)].update({f for s in bag for w in s for f in buckets(w)})
     n1, n0 = y.sum(), len(y) - y.sum()
-    chosen = [f for f, k in df[1].items() if k >= 3 and (k + 0.5) / (n1 + 1) > 2.0 * (df[0][f] + 0.5) / (n0 + 1)]
+    # log-likelihood ratio of presence in toxic and in other documents, against the number of features tried
+    least = 2 * np.log(max(2, len(df[0] | df[1]))) + 6
+
+    def ratio(k1: int, k0: int) -> float:
+        p = (k1 + k0) / (n1 + n0)
+        part = lambda k, n: (k * np.log(k / n / p) if k else 0) + ((n - k) * np.log((1 - k / n) / (1 - p)) if k < n else 0)
+        return 2 * (part(k1, n1) + part(k0, n0)) if p < 1 else 0.0
+
+    chosen = [f for f, k in df[1].items() if k * n0 > 1.5 * df[0][f] * n1 and ratio(k, df[0][f]) > least]
     if not chosen:
         return none
     place = {f: i for i, f in enumerate(sorted(chosen))}
@@ -117,6 +128,7 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 300, rate: float =
             cols += got
             doc.append(d)
     rows, cols, doc = np.array(rows), np.array(cols), np.array(doc)
+    weight = np.where(y == 1, np.sqrt(n0 / n1), 1.0)  # half way to balanced classes
     theta = np.zeros(len(place) + 1)
     theta[-1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -125,7 +137,7 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 300, rate: float =
         z = np.bincount(rows, w[cols], len(doc)) + b
         s = np.bincount(doc, np.logaddexp(0, z), len(y)) + idle * np.logaddexp(0, b)
         # d loss / d S: 1 for clean documents, -exp(-S) / (1 - exp(-S)) for toxic ones
-        slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(s, 500)), 1e-9), 1.0)
+        slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(s, 500)), 1e-9), 1.0) * weight
         gz = slope[doc] / (1 + np.exp(-z))
         g = np.append(np.bincount(cols, gz[rows], len(place)), gz.sum() + (slope * idle).sum() / (1 + np.exp(-b))) / len(y)
         g[:-1] += l2 * w
