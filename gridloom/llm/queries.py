@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .bpe import op10_byte_bpe
+from .decontaminate import op6_decontaminate
 from .langid import op1_langid
 from .ledger import op2_secret_ledger
+from .quality import OP4_SQL, op4_quality_rules
+from .simhash import op5_simhash
 from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_langid, op2_secret_ledger, op3_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_secret_ledger, op3_toxicity, op4_quality_rules, op5_simhash, op6_decontaminate, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": OP4_SQL}
