@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .bpe import op10_byte_bpe
+from .chunks import op7_cdc
 from .decontaminate import op6_decontaminate
 from .langid import op1_langid
 from .ledger import op2_secret_ledger
@@ -14,7 +15,7 @@ from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_langid, op2_secret_ledger, op3_toxicity, op4_quality_rules, op5_simhash, op6_decontaminate, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_secret_ledger, op3_toxicity, op4_quality_rules, op5_simhash, op6_decontaminate, op7_cdc, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
