@@ -82,6 +82,12 @@ class BlobLedger:
         batches = self._batches()
         return self.spark.read.schema(schema).parquet(*batches) if batches else self.spark.createDataFrame([], schema)
 
+    def findings(self) -> DataFrame:
+        """(blob, findings) of the blobs that have any under the current rules."""
+        known = self.entries().filter((F.col("rule_version") == self.version) & (F.size("findings") > 0))
+        # a path may hold a blob twice, then two rows stood for it
+        return known.groupBy("blob").agg(F.first("findings").alias("findings"))
+
     def scan(self, versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
         """Scan unseen blobs of `versions`, add them to the ledger, and return (path, blob, findings) for each row."""
         small_batches(self.spark)
@@ -104,10 +110,7 @@ class BlobLedger:
         found = todo.select("blob", "text").mapInArrow(run, f"blob string, findings {SPANS}")
         batch = f"{self.path}/batch-{uuid.uuid4().hex}"
         found.select("blob", F.lit(self.version).alias("rule_version"), "findings").write.parquet(batch)
-        known = self.entries().filter((F.col("rule_version") == self.version) & (F.size("findings") > 0))
-        # a path may hold a blob twice, then two rows stood for it
-        known = known.groupBy("blob").agg(F.first("findings").alias("findings"))
-        return keys.join(known, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(SPANS)).alias("findings"))
+        return keys.join(self.findings(), "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(SPANS)).alias("findings"))
 
 
 def joined(spans: F.Column) -> F.Column:
@@ -115,7 +118,7 @@ def joined(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, findings: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, findings: DataFrame, text: str = "text") -> DataFrame:
     """Documents with each found span replaced by [kind]; overlapping spans count as one, named by the first.
     findings: (blob, findings), one row a blob that has spans."""
     cols = docs.columns

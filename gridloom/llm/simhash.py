@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
@@ -115,24 +115,26 @@ def link_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return first.join(second, "root").select("fp", F.col("top").alias("root"))
 
 
-def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """(key, fp, component_id): component_id is the smallest key reachable by links."""
-    rows = written(fingerprints(docs, text=text, keep=(key,)), "fingerprints")
+def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), max_bits: int = MAX_BITS) -> DataFrame:
+    """(key, columns `keep`, fp, component_id): component_id is the smallest key reachable by links."""
+    rows = written(fingerprints(docs, text=text, keep=(key, *keep)), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "classes")
     linked = link_components(classes.select("fp"), max_bits).join(classes, "fp")
     ids = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select(key, "fp", "component_id")
+    return rows.join(ids, "fp").select(key, *keep, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one row of each component: the one with the smallest key (of repeated rows, one).
-    Rows with a null key stay."""
-    found = components(docs, key=key, text=text)
-    first = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__k")).distinct()
-    kept = docs.join(first, docs[key] == first["__k"], "left_semi")
-    w = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
-    one = kept.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    return one.unionByName(docs.filter(docs[key].isNull()))
+    """The documents with one row of each component: the one with the smallest key (a null key comes last; rows
+    of one key go by a hash of their text; of rows repeated whole, one stays)."""
+    named = docs.withColumn("__copy", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    found = components(named, key=key, text=text, keep=("__copy",))
+    order = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("__copy").alias("c"))
+    first = found.select("component_id", F.col("fp").alias("f"), order.alias("o"))
+    # without any key in a component there is no component_id: its fingerprint stands for it
+    first = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("f"))).agg(F.min("o").alias("o")).select("o.k", "o.c").distinct()
+    kept = named.join(first, named[key].eqNullSafe(F.col("k")) & (F.col("__copy") == F.col("c")), "left_semi")
+    return kept.dropDuplicates([key, "__copy"]).drop("__copy")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
