@@ -1,8 +1,66 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, secret scans, byte-level BPE.
 
-STAGES = []
+Each stage reads what the one before has written, works on all of it, and its decisions take effect: rejected
+documents go, frequent lines are cut, one document of each near-duplicate group stays, documents that hold a
+benchmark item go, found secrets are replaced by their kind, and the rest is encoded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, decontaminate, ledger, quality, simhash
+from gridloom.llm.common import scratch, table, written
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(quality.apply(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # the id with the text: rows without an id, or that share one, are judged each
+    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    hit = decontaminate.matches(named, table(spark, sf_dir, "benchmark"), key="__row")
+    return named.join(hit.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").drop("__row")
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    blobs = ledger.BlobLedger(spark, scratch(spark, "ledger"))
+    blobs.scan(docs, path="doc_id")
+    return _counted(ledger.redact(docs, blobs.findings()))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    keep = tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep, digests=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("byte_bpe", byte_bpe),
+]
+
+#: SQL has no byte-pair merges; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
