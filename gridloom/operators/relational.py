@@ -117,7 +117,7 @@ def regression_metrics(y: str, p: str, digits: int = 8) -> list[Column]:
     return [
         F.count("*").alias("n"), r(F.sqrt(mse), "rmse"), r(F.avg(F.abs(e)), "mae"), r(F.avg(e), "bias"),
         r(F.when(sst > 0, 1.0 - mse / sst), "r2"), r(F.regr_slope(b, a), "slope"), r(F.regr_intercept(b, a), "intercept"),
-        r(F.corr(a, b), "pearson_r"), r(F.when(F.stddev_samp(a) > 0, F.sqrt(mse) / F.stddev_samp(a)), "normalized_rmse"), r(F.stddev_samp(e), "residual_sd"),
+        r(F.when((sst > 0) & (F.var_pop(b) > 0), F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b))), "pearson_r"), r(F.when(F.stddev_samp(a) > 0, F.sqrt(mse) / F.stddev_samp(a)), "normalized_rmse"), r(F.stddev_samp(e), "residual_sd"),
     ]
 
 

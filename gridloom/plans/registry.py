@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: list[str] = ["scalars_q", "joins_q", "aggregates_q"]
+MODULES = ("scalars_q", "joins_q", "aggregates_q", "spatial_q", "sources_q")
 
 
 def _all(name: str) -> dict:
