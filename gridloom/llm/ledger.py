@@ -85,7 +85,7 @@ class BlobLedger:
     def findings(self) -> DataFrame:
         """(blob, findings) of the blobs that have any under the current rules."""
         known = self.entries().filter((F.col("rule_version") == self.version) & (F.size("findings") > 0))
-        # a path may hold a blob twice, then two rows stood for it
+        # two scans at once may have scanned the same blob
         return known.groupBy("blob").agg(F.first("findings").alias("findings"))
 
     def scan(self, versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -107,7 +107,8 @@ class BlobLedger:
                 got = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t, compiled)] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, kind)], ["blob", "findings"])
 
-        found = todo.select("blob", "text").mapInArrow(run, f"blob string, findings {SPANS}")
+        # a row repeated whole stood for its blob twice
+        found = todo.select("blob", "text").mapInArrow(run, f"blob string, findings {SPANS}").dropDuplicates(["blob"])
         batch = f"{self.path}/batch-{uuid.uuid4().hex}"
         found.select("blob", F.lit(self.version).alias("rule_version"), "findings").write.parquet(batch)
         return keys.join(self.findings(), "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(SPANS)).alias("findings"))
