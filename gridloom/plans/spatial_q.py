@@ -131,13 +131,13 @@ def g25(t):
     return t("customer").select("c_custkey", F.round(F.hypot(F.col("c_custkey") % 97 - 50, F.col("c_nationkey") - 10), 8).alias("dist"))
 
 
-@query("g29_local_moran", PX + ", z AS (SELECT vec_id, row, col, (val - avg(val) OVER (PARTITION BY vec_id)) / stddev_pop(val) OVER (PARTITION BY vec_id) AS z FROM px) SELECT a.vec_id, a.row, a.col, round(any_value(a.z) * avg(b.z), 6) AS moran_i FROM z a JOIN z b ON a.vec_id = b.vec_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY 1, 2, 3")
+@query("g29_local_moran", PX + ", z AS (SELECT vec_id, row, col, (val - avg(val) OVER (PARTITION BY vec_id)) / stddev_pop(val) OVER (PARTITION BY vec_id) AS z FROM px) SELECT a.vec_id, a.row, a.col, round(any_value(a.z) * avg(b.z), 6) + 0.0 AS moran_i FROM z a JOIN z b ON a.vec_id = b.vec_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY 1, 2, 3")
 def g29(t):
     w = Window.partitionBy("vec_id")
     z = pixels(t).withColumn("z", (F.col("val") - F.avg("val").over(w)) / F.stddev_pop("val").over(w))
     give = F.explode(F.array(*[F.struct((F.col("row") + i).alias("r"), (F.col("col") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
     near = z.select("vec_id", "z", give.alias("g")).groupBy("vec_id", F.col("g.r").alias("row"), F.col("g.c").alias("col")).agg(F.avg("z").alias("m"))
-    return z.join(near, ["vec_id", "row", "col"]).select("vec_id", "row", "col", F.round(F.col("z") * F.col("m"), 6).alias("moran_i"))
+    return z.join(near, ["vec_id", "row", "col"]).select("vec_id", "row", "col", (F.round(F.col("z") * F.col("m"), 6) + 0.0).alias("moran_i"))
 
 
 @query("g30_s14_windowed_pixels", PX + "SELECT vec_id, row, col, 300000 + (col + 0.5::DOUBLE) * 20 AS px, 5900000 - (row + 0.5::DOUBLE) * 20 AS py, val FROM px WHERE row BETWEEN 2 AND 5 AND col BETWEEN 1 AND 6")
