@@ -36,29 +36,43 @@ UNITS = "km kg cm mm mg ml m g l s h hz khz mhz ghz kb mb gb tb min sec hr hrs f
 _NUMBER = "[+-]?[0-9][0-9.,:/]*"
 
 
-def template(text):
-    """The text with typed placeholders; the white-space separated tokens stay in their places."""
+_EDGE = "[.,;:!?)\\]\"'%]*(?![^\\x20\\x09-\\x0D])"
+_START = "(?<![^\\x20\\x09-\\x0D])[(\\[\"'$]*"
+
+
+def names(text):
+    """Capitalised tokens that do not start a sentence become <name>. The letter is tried before what stands in
+    front of it, which few places then need."""
+    return F.regexp_replace(text, f"\\p{{Lu}}(?<=[^.!?:\\x20\\x09-\\x0D]{SPACE}{{1,8}}\\p{{Lu}})[^\\x20\\x09-\\x0D]*", "<name>")
+
+
+def numbers(text):
+    """Numbers, numbers with a unit, and units after a number become <number>, <quantity> and <unit>."""
     units = "|".join(UNITS)
-    edge_l, edge_r = f"(?<![^\\x20\\x09-\\x0D])[(\\[\"'$]*", "[.,;:!?)\\]\"'%]*(?![^\\x20\\x09-\\x0D])"
-    out = F.regexp_replace(text, f"(?<=[^.!?:\\x20\\x09-\\x0D]{SPACE}{{1,8}})\\p{{Lu}}[^\\x20\\x09-\\x0D]*", "<name>")
-    out = F.regexp_replace(out, f"{edge_l}{_NUMBER}(?i:{units}){edge_r}", "<quantity>")
-    out = F.regexp_replace(out, f"{edge_l}{_NUMBER}{edge_r}", "<number>")
-    return F.regexp_replace(out, f"(?<=<number>{SPACE}{{1,8}})(?i:{units}){edge_r}", "<unit>")
+    out = F.regexp_replace(text, f"{_START}{_NUMBER}(?i:{units}){_EDGE}", "<quantity>")
+    out = F.regexp_replace(out, f"{_START}{_NUMBER}{_EDGE}", "<number>")
+    return F.regexp_replace(out, f"(?<=<number>{SPACE}{{1,8}})(?i:{units}){_EDGE}", "<unit>")
+
+
+def tokens(text):
+    return F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
 
 
 def windows(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """One row a text: id, values (tokens as written), canon (template tokens), win (hash of each window)."""
+    """One row a text: id, t (as written), canon (template tokens), win (hash of each window)."""
     one = texts.select(texts[key].alias("id"), F.coalesce(texts[text], F.lit("")).alias("t"))
-    token = lambda c: F.regexp_extract_all(c, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    one = one.select("id", token(F.col("t")).alias("values"), F.transform(token(template(F.col("t"))), lambda w: F.btrim(F.lower(w), F.lit(".,;:!?\"'()[]"))).alias("canon"))
-    one = one.select("id", "values", "canon", F.transform("canon", lambda w: F.xxhash64(w)).alias("h"))
+    one = one.select("id", "t", names(F.col("t")).alias("named"))
+    # a text without digits has nothing else to replace
+    one = one.select("id", "t", F.lower(F.when(F.col("named").rlike("[0-9]"), numbers(F.col("named"))).otherwise(F.col("named"))).alias("low"))
+    one = one.select("id", "t", F.transform(tokens(F.col("low")), lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]"))).alias("canon"))
+    one = one.select("id", "t", "canon", F.transform("canon", lambda w: F.xxhash64(w)).alias("h"))
     win = F.transform(F.slice("h", 1, F.greatest(F.size("h") - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WINDOW)]))
-    return one.select("id", "values", "canon", win.alias("win"))
+    return one.select("id", "t", "canon", win.alias("win"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, verbatim) of every contaminated pair."""
-    bench = windows(benchmark, item, item_text).select(F.col("id").alias("item_id"), F.col("values").alias("item_values"), F.col("canon").alias("item_canon"), F.posexplode_outer("win").alias("item_pos", "h"))
+    bench = windows(benchmark, item, item_text).select(F.col("id").alias("item_id"), tokens(F.col("t")).alias("item_values"), F.col("canon").alias("item_canon"), F.posexplode_outer("win").alias("item_pos", "h"))
     part = lambda c, at: F.slice(c, F.col(at) + 1, WINDOW)
     bench = bench.select("item_id", "item_pos", "h", part("item_canon", "item_pos").alias("item_canon"), part("item_values", "item_pos").alias("item_values"))
     bench = bench.filter("h is not null").filter(F.size(F.filter("item_canon", lambda w: ~w.startswith("<") & (w != ""))) >= LEAST_PLAIN).dropDuplicates(["item_id", "item_pos"])
@@ -66,16 +80,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     blocks = max(1, -(-bench.count() // BLOCK_WINDOWS))
 
     # outer: the filter that Spark derives for an inner explode would be pushed down and compute all windows anew
-    each = windows(docs, key, text).select("id", "values", "canon", F.posexplode_outer("win").alias("pos", "h"))
+    each = windows(docs, key, text).select("id", "t", "canon", F.posexplode_outer("win").alias("pos", "h"))
     strip = lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]"))
     slots = F.filter(
-        F.transform("item_canon", lambda c, i: F.when(c.startswith("<"), F.struct(strip(F.get("item_values", i)).alias("was"), strip(F.get("values", F.col("pos") + i)).alias("is")))),
+        F.transform("item_canon", lambda c, i: F.when(c.startswith("<"), F.struct(strip(F.get("item_values", i)).alias("was"), strip(F.get("here", i)).alias("is")))),
         lambda x: x.isNotNull(),
     )
 
     def against(block: int) -> DataFrame:
         mine = bench.filter(F.pmod("h", F.lit(blocks)) == block) if blocks > 1 else bench
         hit = each.join(F.broadcast(mine), "h").filter(part("canon", "pos") == F.col("item_canon"))
+        # the words as written are looked up for matches only
+        hit = hit.withColumn("here", F.slice(tokens(F.col("t")), F.col("pos") + 1, WINDOW))
         return hit.select(F.col("id").alias("doc_id"), "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
 
     hits = reduce(DataFrame.unionByName, [against(b) for b in range(blocks)])
