@@ -45,8 +45,9 @@ def predict_with(df: DataFrame, features: list[str], predict: Callable, name: st
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("double")
-    def run(x: pd.DataFrame) -> pd.Series:
+    def run(x):
         return pd.Series(predict(x), dtype="float64")
 
-    return df.withColumn(name, run(F.struct(*features)))
+    # the kind of function is read from its types
+    run.__annotations__ = {"x": pd.DataFrame, "return": pd.Series}
+    return df.withColumn(name, pandas_udf(run, "double")(F.struct(*features)))

@@ -42,6 +42,14 @@ def read_union(spark: SparkSession, paths: list[str], fmt: str = "parquet", sour
     return reader.load(paths).withColumn(source, F.col("_metadata.file_name"))
 
 
+def require(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The frame, if it has all these columns."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df
+
+
 def read_selected(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The wanted columns that exist: the scan reads no others."""
     df = spark.read.parquet(path)

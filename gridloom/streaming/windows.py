@@ -18,17 +18,18 @@ def composite_counts(events: DataFrame, at: str, keys: list[str], value: str, la
 
 
 def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """Start a query that keeps the newest row of each key in a Parquet table, one whole replacement a batch."""
-    from ..operators.relational import first_by, upsert
+    """Start a query that keeps the newest row of each key in a Parquet table, one whole replacement a batch; a
+    row older than the table's is ignored, so the order of files does not matter."""
+    from ..operators.relational import first_by
     from ..sources.io import replace_atomically
 
     def apply(batch: DataFrame, _: int) -> None:
-        new = first_by(batch, keys, F.col(order).desc())
+        new = batch
         spark = batch.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs
         p = hadoop.Path(path)
         if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            new = upsert(spark.read.parquet(path), new, keys)
-        replace_atomically(new, path)
+            new = spark.read.parquet(path).unionByName(batch)
+        replace_atomically(first_by(new, keys, F.col(order).desc()), path)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
