@@ -85,7 +85,7 @@ class BlobLedger:
     def findings(self) -> DataFrame:
         """(blob, findings) of the blobs that have any under the current rules."""
         known = self.entries().filter((F.col("rule_version") == self.version) & (F.size("findings") > 0))
-        # two scans at once may have scanned the same blob
+        # two scans at once may have scanned the same blob, or a split partition
         return known.groupBy("blob").agg(F.first("findings").alias("findings"))
 
     def scan(self, versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -103,12 +103,15 @@ class BlobLedger:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             compiled = [(k, re.compile(p), g, n) for k, p, g, n in rules]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+            done: set[str] = set()
             for b in batches:
-                got = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t, compiled)] for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, kind)], ["blob", "findings"])
+                # rows repeated whole are dealt to one task: their blob is scanned once
+                rows = {x: t for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x not in done}
+                done |= rows.keys()
+                got = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t, compiled)] for t in rows.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(got, kind)], ["blob", "findings"])
 
-        # a row repeated whole stood for its blob twice
-        found = todo.select("blob", "text").mapInArrow(run, f"blob string, findings {SPANS}").dropDuplicates(["blob"])
+        found = todo.select("blob", "text").mapInArrow(run, f"blob string, findings {SPANS}")
         batch = f"{self.path}/batch-{uuid.uuid4().hex}"
         found.select("blob", F.lit(self.version).alias("rule_version"), "findings").write.parquet(batch)
         return keys.join(self.findings(), "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(SPANS)).alias("findings"))
