@@ -2,14 +2,17 @@
 
 A text's UTF-8 bytes are cut where the gear hash of the last 16 bytes starts with zero bits, so an insertion moves
 only the cuts near it. Chunks are counted by digest over all documents; a chunk's first occurrence (smallest
-document id, then place) is kept and each later one is removed. Short chunks repeat by chance in any prose, so
+document id, then place) is kept and each later one is removed. A digest has 64 bits: a chance equality only
+matters inside a run of truly repeated neighbours. Short chunks repeat by chance in any prose, so
 a chunk counts as repeated only within a run of neighbouring repeated chunks of at least MIN_RUN bytes.
 
 Only digests and places are shuffled for the count, summed on the map side first; texts are dealt out once by
 document to be rewritten. A hot chunk's rows are split by the skew join, its count by the partial sums.
 
-Defined cases: null and empty texts have no chunks; rows of one id are told apart by their text, and a row
-repeated whole counts as repeated without either being the later one; a null id sorts last; an empty table gives an empty table; other
+A row of the count is a digest with a place, packed into eight bytes: a tag of the text (24 bits), start and size.
+
+Defined cases: null and empty texts have no chunks; rows of one id are told apart by the tag, count as repeated
+and are not later than each other; a null id is never first where another id holds the chunk; an empty table gives an empty table; other
 columns are ignored. Long texts are hashed in blocks.
 """
 
@@ -76,57 +79,62 @@ def cuts(data: bytes) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(docs[key].alias("doc_id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("copy"), docs[text].alias("text"))
+    tag = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    return docs.select(docs[key].alias("doc_id"), F.shiftright(tag, 40).alias("tag"), docs[text].alias("text"))
 
 
 def chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, copy, n, start, size, digest) of every chunk; copy, a hash of the text, tells rows of one id apart."""
+    """(doc_id, digest, place) of every chunk; place is tag << 40 | start << 9 | size."""
     small_batches(docs.sparkSession)
     src = _rows(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes, texts = b.column(0), b.column(1), b.column(2).to_pylist()
-            row, n, start, size, digest = [], [], [], [], []
-            for r, t in enumerate(texts):
+            row, place, digest = [], [], []
+            for r, (tag, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 data = (t or "").encode("utf-8", "surrogatepass")
                 ends = cuts(data)
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+                if not len(ends):
+                    continue
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 row.append(np.full(len(ends), r))
-                n.append(np.arange(len(ends)))
-                start.append(begins)
-                size.append(ends - begins)
-                digest += [xxhash.xxh3_128_digest(data[a:z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
-            if not digest:
-                continue
-            cat = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
-            at = cat(row, np.int64)
-            yield pa.RecordBatch.from_arrays([ids.take(at), hashes.take(at), cat(n, np.int32), cat(start, np.int64), cat(size, np.int32), pa.array(digest, pa.binary())], ["doc_id", "copy", "n", "start", "size", "digest"])
+                place.append((begins << 9) + (ends - begins) + (tag << 40))
+                digest += [xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
+            if digest:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(row))), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(np.concatenate(place))], ["doc_id", "digest", "place"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, copy bigint, n int, start bigint, size int, digest binary")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, digest bigint, place bigint")
 
 
 def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document with repeated chunks: (doc_id, copy, spans), spans holding (n, start, end, later);
-    later is false at the chunk's first occurrence."""
+    """(doc_id, tag, spans) of each document with repeated chunks: spans holds (place, digest, later), later being
+    false in the document that holds the chunk first."""
     all_chunks = written(chunks(docs, key=key, text=text), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("copy"), F.col("n"))
-    seen = all_chunks.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1").select("digest", "first")
-    hit = all_chunks.join(seen, "digest").select("doc_id", "copy", F.struct("n", "start", (F.col("start") + F.col("size")).alias("end"), (place != F.col("first")).alias("later")).alias("span"))
-    return hit.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("span")).alias("spans"))
-
-
-def judge(data: bytes, spans: list[tuple[int, int, int, bool]]) -> tuple[int, list[tuple[int, int]]]:
-    """Bytes in repeated passages, and the maximal runs to remove. spans: (n, start, end, later), in order."""
+    seen = all_chunks.groupBy("digest").agg(F.count("*").alias("times"), F.min("doc_id").alias("first")).filter("times > 1").select("digest", "first")
+    # written, so that both sides of the join are dealt out anew and a hot digest can be split
+    seen = written(seen, "seen")
+    hit = all_chunks.join(seen, "digest").select("doc_id", F.shiftright("place", 40).alias("tag"), F.struct("place", "digest", (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later")).alias("span"))
+    return hit.groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans"))
+
+
+def judge(data: bytes, spans: list[tuple[int, int, bool]]) -> tuple[int, list[tuple[int, int]]]:
+    """Bytes in repeated passages, and the maximal runs to remove. spans: (place, digest, later), in any order; a
+    chunk that the document holds before is later too."""
+    held: set[int] = set()
+    found: list[tuple[int, int, bool]] = []
+    for place, digest, later in sorted(set(spans)):
+        start = (place >> 9) & 0x7FFFFFFF
+        found.append((start, start + (place & 0x1FF), later or digest in held))
+        held.add(digest)
     repeated, gone, at = 0, [], 0
-    while at < len(spans):
+    while at < len(found):
         end = at + 1
-        while end < len(spans) and spans[end][0] == spans[end - 1][0] + 1:
+        while end < len(found) and found[end][0] == found[end - 1][1]:
             end += 1
-        size = spans[end - 1][2] - spans[at][1]
+        size = found[end - 1][1] - found[at][0]
         if size >= MIN_RUN or size == len(data):
             repeated += size
-            for _, a, z, later in spans[at:end]:
+            for a, z, later in found[at:end]:
                 if later and gone and gone[-1][1] == a:
                     gone[-1] = (gone[-1][0], z)
                 elif later:
@@ -141,14 +149,14 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     small_batches(docs.sparkSession)
     found = repeats(docs, key=key, text=text)
     rows = _rows(docs, key, text)
-    both = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["copy"] == found["copy"]), "left").select(rows["doc_id"], "text", "spans")
+    both = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["tag"] == found["tag"]), "left").select(rows["doc_id"], "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = (t or "").encode("utf-8", "surrogatepass")
-                repeated, gone = judge(data, [(x["n"], x["start"], x["end"], x["later"]) for x in spans or []])
+                repeated, gone = judge(data, [(x["place"], x["digest"], x["later"]) for x in spans or []])
                 edges = [0, *[e for g in gone for e in g], len(data)]
                 kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
                 out.append((kept, len(data), repeated, len(data) - len(kept), len(gone)))
