@@ -9,8 +9,12 @@ has different segments is text gathered, one copy of each different segment, and
 windows repeat: suffixes smaller than their successors are sorted directly, the others are induced by scanning
 the buckets, and neighbours' common prefixes of 200 bytes or more mark the repeats.
 
-Counts are summed on the map side, so a passage in a third of all documents is one row a task; blocks hold
-whole anchors and about BLOCK bytes, more only if one anchor has more different segments than that.
+Counts are summed on the map side, so a passage in a third of all documents is one row a task. An anchor with over
+SPLIT different segments (a common phrase in many contexts) is split by content: its windows are banded by the
+anchor's place in them, and the bytes that all windows of a band share are the key of a smaller group, since equal
+windows lie in one band and share those bytes. Groups still too large are banded again by two, where at most one byte
+on each side differs, so that no group has more than 65,536 different pieces. Blocks hold whole groups and about
+BLOCK bytes.
 
 Defined cases: a null text is empty; texts under 200 bytes lose nothing; rows of one id are told apart by text,
 and a row repeated whole counts as another place; an empty table gives an empty table; other columns are ignored.
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
@@ -32,6 +36,9 @@ from .common import small_batches, table, written
 WIDTH = 200
 GRAM = 32
 BLOCK = 1 << 20
+#: Different texts of one group from which it is split, and the windows in a band at each split.
+SPLIT = 2048
+BANDS = (16, 2)
 #: Bytes of a text whose windows are anchored at once.
 PART = 1 << 20
 
@@ -168,6 +175,7 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
+PARTS = "grp bigint, piece bigint, off int, part binary"
 RANGES = "array<struct<a:int,z:int>>"
 _RANGES = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
 
@@ -205,7 +213,8 @@ def anchored(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def _gathered(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(anchor, seg, part): the text of each wanted segment (doc_id, copy, anchor, seg, a, z)."""
+    """(grp, piece, off, part): the text of each wanted segment (doc_id, copy, anchor, seg, a, z); a row repeated
+    whole gives its segments again. off, the anchor's place in the first window, is not known yet: -1."""
     rows = _rows(docs, key, text)
     lists = wanted.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("anchor", "seg", "a", "z")).alias("want"))
     both = rows.join(lists, rows["doc_id"].eqNullSafe(lists["doc_id"]) & (rows["copy"] == lists["copy"])).select("text", "want")
@@ -219,22 +228,71 @@ def _gathered(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
                     anchor.append(w["anchor"])
                     seg.append(w["seg"])
                     part.append(data[w["a"] : w["z"] + WIDTH])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(part, pa.binary())], ["anchor", "seg", "part"])
+            off = pa.array(np.full(len(part), -1, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), off, pa.array(part, pa.binary())], ["grp", "piece", "off", "part"])
 
-    return both.mapInArrow(run, "anchor bigint, seg bigint, part binary").dropDuplicates(["anchor", "seg"])
+    return both.mapInArrow(run, PARTS)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def bands(part: bytes, off: int, band: int, width: int = WIDTH) -> list[tuple[int, int, int, bytes]]:
+    """(shift, group, off, text) of each band of a part's windows: those whose anchor lies in the same `band` places.
+    The group hashes the bytes that every window of the band has, wherever the part begins and ends."""
+    out, at, last = [], 0, len(part) - width
+    while at <= last:
+        low = (off - at) // band * band
+        end = min(last, off - low)
+        # a window whose anchor is at `low` begins at off - low, one at low + band - 1 ends so much earlier
+        core = part[off - low : off - low + width - band + 1]
+        out.append((at, _signed(xxhash.xxh3_64_intdigest(core, seed=low * 256 + band)), off - at, part[at : end + width]))
+        at = end + 1
+    return out
+
+
+def _split(parts: DataFrame, band: int) -> DataFrame:
+    """(up_grp, up_piece, shift, grp, piece, off, part): the bands of each part; shift is the place of a band's
+    first window in its part."""
+
+    def run(batches):
+        for b in batches:
+            row, shift, grp, piece, off, part = [], [], [], [], [], []
+            for r, (g, o, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if o < 0:
+                    # the anchor is the first of its hash that the last window has
+                    z = len(text) - WIDTH
+                    o = z + int(np.argmax(gram_hashes(text[z:]).view(np.int64) == g))
+                for s, k, at, t in bands(text, o, band):
+                    row.append(r)
+                    shift.append(s)
+                    grp.append(k)
+                    piece.append(_signed(xxhash.xxh3_64_intdigest(t)))
+                    off.append(at)
+                    part.append(t)
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), pa.array(shift, pa.int32()), pa.array(grp, pa.int64()), pa.array(piece, pa.int64()), pa.array(off, pa.int32()), pa.array(part, pa.binary())],
+                ["up_grp", "up_piece", "shift", "grp", "piece", "off", "part"],
+            )
+
+    return parts.select("grp", "piece", "off", "part").mapInArrow(run, f"up_grp bigint, up_piece bigint, shift int, {PARTS}")
 
 
 def _compared(parts: DataFrame) -> DataFrame:
-    """(anchor, seg, found): runs of windows, counted from the segment's start, that other segments hold too."""
+    """(grp, piece, found): runs of windows, counted from the part's start, that other parts of the group hold too."""
 
     def flush(rows):
         flags = repeated_windows([r[2] for r in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[{"a": a, "z": z} for a, z in _ranges(f)] for f in flags], _RANGES)], ["anchor", "seg", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[{"a": a, "z": z} for a, z in _ranges(f)] for f in flags], _RANGES)], ["grp", "piece", "found"])
 
     def run(batches):
         rows, size = [], 0
         for b in batches:
             for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if rows and row[:2] == rows[-1][:2]:
+                    continue
                 if size >= BLOCK and row[0] != rows[-1][0]:
                     yield from flush(rows)
                     rows, size = [], 0
@@ -243,7 +301,31 @@ def _compared(parts: DataFrame) -> DataFrame:
         if rows:
             yield from flush(rows)
 
-    return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"anchor bigint, seg bigint, found {RANGES}")
+    return parts.select("grp", "piece", "part").repartition("grp").sortWithinPartitions("grp", "piece").mapInArrow(run, f"grp bigint, piece bigint, found {RANGES}")
+
+
+def _shifted(by: str) -> Column:
+    return F.transform("found", lambda x: F.struct((F.col(by) + x["a"]).alias("a"), (F.col(by) + x["z"]).alias("z")))
+
+
+def _found(parts: DataFrame, pairs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """(grp, piece, found) of parts (grp, piece, off, part), whose different (grp, piece) are pairs. Groups of over
+    SPLIT pieces are split into bands of the first width, and theirs by the next."""
+    if not widths:
+        return _compared(parts)
+    hot = written(pairs.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select("grp"), "hot")
+    if hot.isEmpty():
+        return _compared(parts)
+    kids = written(_split(parts.join(hot, "grp", "left_semi"), widths[0]), "bands")
+    texts = kids.groupBy("grp", "piece").agg(F.first("off").alias("off"), F.first("part").alias("part"))
+    told = _found(texts, kids.select("grp", "piece").distinct(), widths[1:])
+    # a text that several parts have repeats whole
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("z").alias("z"))).cast(RANGES)
+    size = kids.groupBy("grp", "piece").agg(F.count("*").alias("n"), F.max(F.length("part") - WIDTH).alias("z"))
+    told = written(size.join(told, ["grp", "piece"]).select("grp", "piece", F.when(F.col("n") > 1, whole).otherwise(F.col("found")).alias("found")).filter("size(found) > 0"), "told")
+    back = kids.select("up_grp", "up_piece", "shift", "grp", "piece").join(told, ["grp", "piece"]).select("up_grp", "up_piece", _shifted("shift").alias("found"))
+    back = back.groupBy(F.col("up_grp").alias("grp"), F.col("up_piece").alias("piece")).agg(F.flatten(F.collect_list("found")).alias("found"))
+    return _compared(parts.join(hot, "grp", "left_anti")).unionByName(back)
 
 
 def repeated_ranges(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,15 +333,18 @@ def repeated_ranges(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
     all_segs = written(anchored(docs, key=key, text=text), "segments")
     seen = all_segs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("seg") == F.max("seg")).alias("alike")).filter("n > 1").select("anchor", "alike")
+    # written, as are the results below, so that both sides of a join are dealt out anew and a hot key can be split
+    seen = written(seen, "seen")
     # by document: the windows that repeat for certain, and the segments still to be compared
     hit = written(all_segs.join(seen, "anchor"), "hits")
     mixed = hit.filter("not alike")
     place = F.struct("doc_id", "copy", "a", "z")
     groups = written(mixed.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("anchor", "seg", "n", "p.*"), "groups")
-    compared = _compared(_gathered(docs, groups, key, text))
-    told = groups.select("anchor", "seg", "n").join(compared, ["anchor", "seg"])
-    part = mixed.join(told, ["anchor", "seg"]).filter("n > 1 or size(found) > 0").select(
-        "doc_id", "copy", F.when(F.col("n") > 1, F.array(F.struct("a", "z")).cast(RANGES)).otherwise(F.transform("found", lambda x: F.struct((F.col("a") + x["a"]).alias("a"), (F.col("a") + x["z"]).alias("z")))).alias("found")
+    parts = written(_gathered(docs, groups, key, text), "parts")
+    compared = _found(parts, groups.select(F.col("anchor").alias("grp"), F.col("seg").alias("piece")), BANDS).select(F.col("grp").alias("anchor"), F.col("piece").alias("seg"), "found")
+    told = groups.select("anchor", "seg", "n").join(compared, ["anchor", "seg"], "left").filter("n > 1 or size(found) > 0")
+    part = mixed.join(written(told, "compared"), ["anchor", "seg"]).select(
+        "doc_id", "copy", F.when(F.col("n") > 1, F.array(F.struct("a", "z")).cast(RANGES)).otherwise(_shifted("a")).alias("found")
     )
     alike = hit.filter("alike").select("doc_id", "copy", F.array(F.struct("a", "z")).cast(RANGES).alias("found"))
     return alike.unionByName(part).groupBy("doc_id", "copy").agg(F.sort_array(F.flatten(F.collect_set("found"))).alias("found"))

@@ -313,6 +313,25 @@ def test_suffix_dedup_equals_brute_force(spark, odd, none):
     assert suffixes.dedup(odd).count() == len(ODD) and suffixes.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("shared", [40, 120, 190, 199, 240])
+def test_split_anchors_equal_brute_force(spark, monkeypatch, shared):
+    """A phrase in all documents, amid text of few letters so that its contexts repeat in part."""
+    monkeypatch.setattr(suffixes, "SPLIT", 2)
+    used = []
+    split = suffixes._split
+    monkeypatch.setattr(suffixes, "_split", lambda parts, band: used.append(band) or split(parts, band))
+    r = random.Random(shared)
+    phrase = "".join(r.choice(PROSE[0]) for _ in range(shared))
+    ends = ["".join(r.choice("abc ") for _ in range(r.choice([0, 1, 3, 60, 150]))) for _ in range(9)]
+    rows = [(i, r.choice(ends) + r.choice("ab") * r.randint(0, 2) + phrase + r.choice("ab") * r.randint(0, 2) + r.choice(ends), None, None) for i in range(60)]
+    rows += [(90, phrase * 3, None, None), (91, rows[0][1], None, None), (91, rows[0][1], None, None)]
+    flags = brute_removed([t.encode() for _, t, _, _ in rows], 200)
+    got = {x.doc_id: x for x in suffixes.dedup(frame(spark, rows)).collect()}
+    for (i, t, _, _), f in zip(rows, flags, strict=True):
+        assert bytes(got[i].kept) == np.frombuffer(t.encode(), np.uint8)[~f].tobytes()
+    assert used[0] == 16 and (shared < 190 or used == [16, 2])
+
+
 def test_parts_do_not_change_segments(monkeypatch):
     data = LONG.encode()[:9000]
     windows = lambda: {w: h for h, a, z in suffixes.segments(data) for w in range(a, z + 1)}
