@@ -65,6 +65,11 @@ def read_manifest(spark: SparkSession, manifest: DataFrame, path: str = "path",
 def map_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterator[dict]], schema: str) -> DataFrame:
     """Files of any format, each parsed by a function (path, bytes) -> rows; a file that fails to parse gives no
     rows. Formats without an offline library (swath and grid archives) plug in here."""
+    return map_contents(spark.read.format("binaryFile").load(path), parse, schema)
+
+
+def map_contents(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], schema: str) -> DataFrame:
+    """The same for files held as rows (path, content)."""
 
     def run(frames):
         import pandas as pd
@@ -79,7 +84,7 @@ def map_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iter
             if rows:
                 yield pd.DataFrame(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def parse_npz(path: str, content: bytes) -> Iterator[dict]:
@@ -93,7 +98,12 @@ def parse_npz(path: str, content: bytes) -> Iterator[dict]:
 
 def shard_index(spark: SparkSession, path: str) -> DataFrame:
     """id -> (shard, local index); an id in two places is an error."""
-    index = map_files(spark, path, parse_npz, "id bigint, shard string, local_index bigint")
+    return contents_index(spark.read.format("binaryFile").load(path))
+
+
+def contents_index(files: DataFrame) -> DataFrame:
+    """The same for array shards held as rows (path, content)."""
+    index = map_contents(files, parse_npz, "id bigint, shard string, local_index bigint")
     if index.groupBy("id").count().filter("count > 1").limit(1).count():
         raise ValueError("an id is in two shards")
     return index

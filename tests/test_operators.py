@@ -163,3 +163,33 @@ def test_streams(spark, tmp_path):
     assert {r.composite for r in spark.read.parquet(str(tmp_path / "out")).collect()} <= {121, 145}
     W.upsert_batches(spark.readStream.schema("k string, at string, v double").json(src), str(tmp_path / "table"), ["k"], "at", str(tmp_path / "c2")).awaitTermination()
     assert [r.v for r in spark.read.parquet(str(tmp_path / "table")).collect()] == [5.0]
+
+
+def test_grid_squares(spark):
+    from gridloom.functions import grid
+
+    known = {(11.575, 48.137): "32UPU", (-77.0353, 38.8895): "18SUJ", (151.2153, -33.8568): "56HLH"}
+    rows = [(lon, lat, code) for (lon, lat), code in known.items()] + [(10.0, 86.0, None), (None, 1.0, None)]
+    got = spark.createDataFrame(rows, "lon double, lat double, code string").select("code", grid.mgrs_square("lon", "lat").alias("square")).collect()
+    assert all(r.code == r.square for r in got)
+
+
+def test_square_bounds_hold_their_places(spark):
+    from gridloom.functions import grid
+
+    places = spark.range(4000).select((F.rand(1) * 360 - 180).alias("lon"), (F.rand(2) * 164 - 80).alias("lat"))
+    zone, east, north = grid.utm("lon", "lat")
+    low_e, low_n = grid.square_bounds("code")
+    off = places.select(grid.mgrs_square("lon", "lat").alias("code"), (F.floor(east / 100000) * 100000.0).alias("e"), (F.floor(north / 100000) * 100000.0).alias("n"))
+    assert off.filter((F.col("e") != low_e) | (F.col("n") != low_n) | F.col("code").isNull()).count() == 0
+
+
+def test_dissolve_outline(spark):
+    from gridloom.operators.polygons import dissolve
+
+    cell = lambda g, a, b: (g, [a, a + 1.0, a + 1.0, a], [b, b, b + 1.0, b + 1.0])
+    closed = ("y", [0.0, 1.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 1.0, 0.0])
+    cells = spark.createDataFrame([cell("x", 0.0, 0.0), cell("x", 1.0, 0.0), cell("x", 0.0, 1.0), closed], "g string, lon array<double>, lat array<double>")
+    n = {r.g: r["count"] for r in dissolve(cells, ["g"]).groupBy("g").count().collect()}
+    assert n == {"x": 8, "y": 4}
+    assert dissolve(cells.limit(0), ["g"]).count() == 0
