@@ -32,6 +32,13 @@ SHINGLE_WORDS = 3
 MAX_BITS = 3
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: Near copies of a corpus stage: words of a shingle, and the least Jaccard similarity (4 / 5). op5 keeps its own.
+NEAR_WORDS = 5
+NEAR = (4, 5)
+#: Shingles that more texts have among their first stand last in the order, the most frequent of them at most. Any
+#: order gives the same pairs.
+HOT_CLASSES = 50
+HOT_SHINGLES = 100_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -124,15 +131,94 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep
     return rows.join(ids, "fp").select(key, *keep, "fp", "component_id")
 
 
+def shingles(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted distinct 62-bit hashes of the word shingles of one text; a shorter text is one shingle."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))]
+    return np.unique(np.array(hashes, np.uint64) >> np.uint64(2)).view(np.int64)
+
+
+def _sets(docs: DataFrame, text: str, hot: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+    """(c, n, end, s): class and number of shingles of each different text, and those that a near copy must share
+    one of: the first n - 0.8 n + 1, hot ones last in the order; end is the last of them. whole: all shingles."""
+    small_batches(docs.sparkSession)
+    late = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, end, some = [], [], []
+            for t in b.column(1).to_pylist():
+                h = shingles(t)
+                n.append(len(h))
+                if not whole:
+                    if late is not None:
+                        h = np.sort(np.where(np.isin(h, late.value), h | (1 << 62), h))
+                    h = h[: len(h) + 1 - -(-len(h) * NEAR[0] // NEAR[1])]
+                end.append(int(h[-1]))
+                some.append(h)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(end, pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["c", "n", "end", "s"])
+
+    return docs.select("__copy", text).mapInArrow(run, "c bigint, n bigint, end bigint, s array<bigint>").dropDuplicates(["c"])
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+    """The pairs (u, v) of classes whose shingle sets have a Jaccard similarity of NEAR or more."""
+    pairs = written(pairs.select("u", "v"), "pairs")
+    asked = pairs.select(F.col("u").alias("__copy")).unionByName(pairs.select(F.col("v").alias("__copy"))).distinct()
+    sets = written(_sets(docs.join(asked, "__copy", "left_semi"), text, whole=True).select("c", "n", "s"), "sets")
+    side = lambda k: sets.select(F.col("c").alias(k), F.col("n").alias(f"n_{k}"), F.col("s").alias(f"s_{k}"))
+    both = F.size(F.array_intersect("s_u", "s_v"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").filter(both * sum(NEAR) >= (F.col("n_u") + F.col("n_v")) * NEAR[0]).select("u", "v")
+
+
+def near_classes(docs: DataFrame, text: str) -> DataFrame:
+    """(c, root) of the different texts (by `__copy`): those linked by near copies, directly or through others, share
+    a root. Two sets of a Jaccard similarity of NEAR share a shingle among the first of both in any one order, so that
+    every pair is found; how many they share there bounds what they share at all. The most frequent shingles stand
+    last in the order. Each class is first linked to one head of its lists, and later pairs lie in different clusters."""
+    first = written(_sets(docs, text), "prefixes")
+    counts = first.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") > HOT_CLASSES)
+    hot = np.array([r.s for r in counts.orderBy(F.desc("count"), "s").limit(HOT_SHINGLES).select("s").collect()], np.int64)
+    if len(hot):
+        first = written(_sets(docs, text, hot), "prefixes")
+    lists = first.select(F.explode("s").alias("s"), "c", "n", "end")
+    many = lists.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("c", "n", "end")).alias("h")).filter("k > 1")
+    post = written(lists.join(many, "s").select("s", "c", "n", "end", F.col("h.c").alias("h_c"), F.col("h.n").alias("h_n"), F.col("h.end").alias("h_end")), "lists")
+    # overlap that the similarity asks for, and what the set that ends first can share beyond its first ones
+    need = lambda a, b: F.ceil((F.col(a) + F.col(b)) * NEAR[0] / sum(NEAR) - 1e-6)
+    rest = lambda a: F.ceil(F.col(a) * NEAR[0] / NEAR[1] - 1e-6) - 1
+    alike = lambda a, b: F.least(a, b) * NEAR[1] >= F.greatest(a, b) * NEAR[0]
+    enough = lambda k, a, b, ea, eb: k + F.when(F.col(ea) <= F.col(eb), rest(a)).otherwise(rest(b)) >= need(a, b)
+
+    stars = post.filter((F.col("c") != F.col("h_c")) & alike("n", "h_n")).groupBy("c", "n", "end", "h_c", "h_n", "h_end").agg(F.count("*").alias("k"))
+    stars = stars.filter(enough(F.col("k"), "n", "h_n", "end", "h_end")).groupBy(F.col("c").alias("u")).agg(F.max_by("h_c", F.struct("k", "h_c")).alias("v"))
+    nodes = first.select(F.col("c").alias("fp"))
+    roots = written(_components(nodes, _verified(docs, stars, text)), "clusters").select(F.col("fp").alias("c"), "root")
+
+    # only lists that still hold several clusters
+    held = written(post.select("s", "c", "n", "end").join(roots, "c"), "held")
+    mixed = held.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("s")
+    held = written(held.join(mixed, "s", "left_semi"), "held")
+    side = lambda k: held.select("s", *[F.col(x).alias(f"{k}_{x}") for x in ("c", "n", "end", "root")])
+    met = side("u").join(side("v"), "s").filter((F.col("u_root") > F.col("v_root")) & alike("u_n", "v_n"))
+    met = met.groupBy("u_c", "v_c").agg(F.count("*").alias("k"), *[F.first(x).alias(x) for x in ("u_n", "v_n", "u_end", "v_end")])
+    met = met.filter(enough(F.col("k"), "u_n", "v_n", "u_end", "v_end")).select(F.col("u_c").alias("u"), F.col("v_c").alias("v"))
+    links = _verified(docs, met, text)
+    between = links.join(roots.select(F.col("c").alias("u"), F.col("root").alias("ru")), "u").join(roots.select(F.col("c").alias("v"), F.col("root").alias("rv")), "v")
+    tops = _components(roots.select(F.col("root").alias("fp")).distinct(), between.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+    return roots.join(tops.select(F.col("fp").alias("root"), F.col("root").alias("top")), "root").select("c", F.col("top").alias("root"))
+
+
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one row of each component: the one with the smallest key (a null key comes last; rows
-    of one key go by a hash of their text; of rows repeated whole, one stays)."""
+    """The documents with one row of each component of near copies (five-word shingles, Jaccard of 0.8 or more, verified):
+    the one with the smallest key (a null key comes last; rows of one key go by a hash of their text; of rows
+    repeated whole, one stays)."""
     named = docs.withColumn("__copy", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
-    found = components(named, key=key, text=text, keep=("__copy",))
     order = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("__copy").alias("c"))
-    first = found.select("component_id", F.col("fp").alias("f"), order.alias("o"))
-    # without any key in a component there is no component_id: its fingerprint stands for it
-    first = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("f"))).agg(F.min("o").alias("o")).select("o.k", "o.c").distinct()
+    rows = named.groupBy("__copy").agg(F.min(order).alias("o"))
+    found = written(near_classes(named, text), "near").withColumnRenamed("c", "__copy")
+    first = rows.join(found, "__copy").groupBy("root").agg(F.min("o").alias("o")).select("o.k", "o.c").distinct()
     kept = named.join(first, named[key].eqNullSafe(F.col("k")) & (F.col("__copy") == F.col("c")), "left_semi")
     return kept.dropDuplicates([key, "__copy"]).drop("__copy")
 
