@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, quantities, units and names become typed placeholders; the remaining words are lower-cased and
-stripped of outer punctuation. Windows of five template words of every benchmark item are joined by hash
+stripped of outer punctuation. A capital that starts a sentence may be a name, and a number word a number: a
+window that holds one has a second form with placeholders for them, and each form of an item's window meets each
+form of a document's. Windows of five template words of every benchmark item are joined by hash
 to those of all documents (then compared as text). For each alignment the slots must be consistent: the
 same value in the item always stands for the same value in the document. A document is contaminated by
 an item if consistent alignments cover at least 0.8 of the item's windows: exact quotes and questions with
@@ -28,6 +30,13 @@ WINDOW = 5
 COVERAGE = 0.8
 #: Plain words that a benchmark window must have to count.
 LEAST_PLAIN = 3
+#: And its other form, where capitals that start sentences are names and number words numbers.
+LEAST_PLAIN_OTHER = 2
+_ONES = "one two three four five six seven eight nine".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = [*_ONES, *"ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen dozen hundred thousand million billion".split(), *_TENS, *(f"{t}-{o}" for t in _TENS for o in _ONES)]
+#: Stands before a capitalised token that is no name by its place.
+_MARK = "\x01"
 #: Benchmark windows in one broadcast (about 200 bytes each).
 BLOCK_WINDOWS = 100_000
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -46,6 +55,11 @@ def names(text):
     return F.regexp_replace(text, f"\\p{{Lu}}(?<=[^.!?:\\x20\\x09-\\x0D]{SPACE}{{1,8}}\\p{{Lu}})[^\\x20\\x09-\\x0D]*", "<name>")
 
 
+def marked(text):
+    """Capitalised tokens that are left, those that start a sentence, get a mark."""
+    return F.regexp_replace(text, "(?<![^\\x20\\x09-\\x0D])(?=\\p{Lu})", _MARK)
+
+
 def numbers(text):
     """Numbers, numbers with a unit, and units after a number become <number>, <quantity> and <unit>."""
     units = "|".join(UNITS)
@@ -59,28 +73,43 @@ def tokens(text):
 
 
 def windows(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """One row a text: id, t (as written), canon (template tokens), win (hash of each window)."""
+    """One row a text: id, t (as written), canon and other (template tokens in both forms), win (hash of each window
+    of the first form, then of the other, null where that is the same)."""
     one = texts.select(texts[key].alias("id"), F.coalesce(texts[text], F.lit("")).alias("t"))
-    one = one.select("id", "t", names(F.col("t")).alias("named"))
+    one = one.select("id", "t", marked(names(F.col("t"))).alias("named"))
     # a text without digits has nothing else to replace
     one = one.select("id", "t", F.lower(F.when(F.col("named").rlike("[0-9]"), numbers(F.col("named"))).otherwise(F.col("named"))).alias("low"))
-    one = one.select("id", "t", F.transform(tokens(F.col("low")), lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]"))).alias("canon"))
-    one = one.select("id", "t", "canon", F.transform("canon", lambda w: F.xxhash64(w)).alias("h"))
-    win = F.transform(F.slice("h", 1, F.greatest(F.size("h") - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WINDOW)]))
-    return one.select("id", "t", "canon", win.alias("win"))
+    one = one.select("id", "t", F.transform(tokens(F.col("low")), lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]"))).alias("tok"))
+    canon = F.transform("tok", lambda w: F.when(w.startswith(_MARK), F.btrim(F.substring(w, 2, 1 << 30), F.lit(".,;:!?\"'()[]"))).otherwise(w))
+    other = F.transform("tok", lambda w: F.when(w.startswith(_MARK), F.lit("<name>")).when(w.isin(NUMBER_WORDS), F.lit("<number>")).otherwise(w))
+    # a number word that starts a sentence is a number
+    number = F.transform("canon", lambda w, i: F.when(w.isin(NUMBER_WORDS), F.lit("<number>")).otherwise(F.get("other", i)))
+    one = one.select("id", "t", canon.alias("canon"), other.alias("other"))
+    one = one.select("id", "t", "canon", F.when(F.exists("canon", lambda w: w.isin(NUMBER_WORDS)), number).otherwise(F.col("other")).alias("other"))
+    one = one.select("id", "t", "canon", "other", F.transform("canon", lambda w: F.xxhash64(w)).alias("h"), F.transform("other", lambda w: F.xxhash64(w)).alias("g"))
+    win = lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(c, i + k) for k in range(1, WINDOW)]))
+    one = one.select("id", "t", "canon", "other", win("h").alias("first"), win("g").alias("second"))
+    return one.select("id", "t", "canon", "other", F.size("first").alias("n_win"), F.concat("first", F.transform("second", lambda x, i: F.nullif(x, F.get("first", i)))).alias("win"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, verbatim) of every contaminated pair."""
-    bench = windows(benchmark, item, item_text).select(F.col("id").alias("item_id"), tokens(F.col("t")).alias("item_values"), F.col("canon").alias("item_canon"), F.posexplode_outer("win").alias("item_pos", "h"))
     part = lambda c, at: F.slice(c, F.col(at) + 1, WINDOW)
-    bench = bench.select("item_id", "item_pos", "h", part("item_canon", "item_pos").alias("item_canon"), part("item_values", "item_pos").alias("item_values"))
-    bench = bench.filter("h is not null").filter(F.size(F.filter("item_canon", lambda w: ~w.startswith("<") & (w != ""))) >= LEAST_PLAIN).dropDuplicates(["item_id", "item_pos"])
-    sizes = bench.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    # places run on into the second form
+    place = F.when(F.col("at") < F.col("n_win"), F.col("at")).otherwise(F.col("at") - F.col("n_win"))
+    form = lambda pos: F.when(F.col("at") < F.col("n_win"), part("canon", pos)).otherwise(part("other", pos))
+    bench = windows(benchmark, item, item_text).select("*", F.posexplode_outer("win").alias("at", "h"))
+    bench = bench.select(F.col("id").alias("item_id"), place.alias("item_pos"), "at", "n_win", "h", "canon", "other", tokens(F.col("t")).alias("values")).filter("h is not null")
+    plain = lambda c: F.size(F.filter(c, lambda w: ~w.startswith("<") & (w != "")))
+    # the first form tells which windows count
+    bench = bench.filter(plain(part("canon", "item_pos")) >= LEAST_PLAIN).withColumn("item_other", F.col("at") >= F.col("n_win"))
+    bench = bench.select("item_id", "item_pos", "item_other", "h", form("item_pos").alias("item_canon"), part("values", "item_pos").alias("item_values"))
+    bench = bench.filter(~F.col("item_other") | (plain("item_canon") >= LEAST_PLAIN_OTHER)).dropDuplicates(["item_id", "item_pos", "item_other"])
+    sizes = bench.filter(~F.col("item_other")).groupBy("item_id").agg(F.count("*").alias("n_windows"))
     blocks = max(1, -(-bench.count() // BLOCK_WINDOWS))
 
     # outer: the filter that Spark derives for an inner explode would be pushed down and compute all windows anew
-    each = windows(docs, key, text).select("id", "t", "canon", F.posexplode_outer("win").alias("pos", "h"))
+    each = windows(docs, key, text).select("id", "t", "canon", "other", "n_win", F.posexplode_outer("win").alias("at", "h"))
     strip = lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]"))
     slots = F.filter(
         F.transform("item_canon", lambda c, i: F.when(c.startswith("<"), F.struct(strip(F.get("item_values", i)).alias("was"), strip(F.get("here", i)).alias("is")))),
@@ -89,16 +118,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
 
     def against(block: int) -> DataFrame:
         mine = bench.filter(F.pmod("h", F.lit(blocks)) == block) if blocks > 1 else bench
-        hit = each.join(F.broadcast(mine), "h").filter(part("canon", "pos") == F.col("item_canon"))
+        hit = each.join(F.broadcast(mine), "h").withColumn("pos", place).filter(form("pos") == F.col("item_canon"))
         # the words as written are looked up for matches only
         hit = hit.withColumn("here", F.slice(tokens(F.col("t")), F.col("pos") + 1, WINDOW))
-        return hit.select(F.col("id").alias("doc_id"), "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
+        return hit.select(F.col("id").alias("doc_id"), "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), (F.col("item_other") | (F.col("at") >= F.col("n_win"))).alias("by_other"), slots.alias("slots"))
 
     hits = reduce(DataFrame.unionByName, [against(b) for b in range(blocks)])
-    lined = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda x: x["was"]))) == F.size("slots")
+    first = lambda c: F.when(~F.col("by_other"), F.col(c))
+    lined = hits.groupBy("doc_id", "item_id", "shift").agg(
+        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.collect_set(first("item_pos")).alias("first_places"), F.array_distinct(F.flatten(F.collect_set(first("slots")))).alias("first_slots"),
+    )
+    consistent = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: x["was"]))) == F.size(c)
+    # where the other form's slots do not fit, the first form's stand alone
+    lined = lined.withColumn("all_fit", consistent("slots")).filter(F.col("all_fit") | (consistent("first_slots") & (F.size("first_places") > 0)))
+    lined = lined.select("doc_id", "item_id", *[F.when(F.col("all_fit"), F.col(c)).otherwise(F.col(f"first_{c}")).alias(c) for c in ("places", "slots")])
     same = F.forall("slots", lambda x: x["was"] == x["is"])
-    pairs = lined.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.min(same).alias("verbatim"))
+    pairs = lined.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.min(same).alias("verbatim"))
     out = pairs.join(F.broadcast(sizes) if blocks == 1 else sizes, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     return out.filter(F.col("coverage") >= COVERAGE).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "verbatim")
 
