@@ -322,7 +322,8 @@ def _found(parts: DataFrame, pairs: DataFrame, widths: tuple[int, ...]) -> DataF
     # a text that several parts have repeats whole
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("z").alias("z"))).cast(RANGES)
     size = kids.groupBy("grp", "piece").agg(F.count("*").alias("n"), F.max(F.length("part") - WIDTH).alias("z"))
-    told = written(size.join(told, ["grp", "piece"]).select("grp", "piece", F.when(F.col("n") > 1, whole).otherwise(F.col("found")).alias("found")).filter("size(found) > 0"), "told")
+    told = size.join(told, ["grp", "piece"], "left").filter("n > 1 or size(found) > 0")
+    told = written(told.select("grp", "piece", F.when(F.col("n") > 1, whole).otherwise(F.col("found")).alias("found")), "told")
     back = kids.select("up_grp", "up_piece", "shift", "grp", "piece").join(told, ["grp", "piece"]).select("up_grp", "up_piece", _shifted("shift").alias("found"))
     back = back.groupBy(F.col("up_grp").alias("grp"), F.col("up_piece").alias("piece")).agg(F.flatten(F.collect_list("found")).alias("found"))
     return _compared(parts.join(hot, "grp", "left_anti")).unionByName(back)
