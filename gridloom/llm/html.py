@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
 
-#: Comments, raw-text elements, tags, or text.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Comments, raw-text elements (to the end of the page without an end tag, as browsers do), closed templates and menus, tags, or text.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|(<(script|style|noscript|textarea|iframe|title)(?![^\s/>]){_ATTRIBUTES}>).*?(?:</\2\s*>|\Z)|<(template|select)(?![^\s/>]){_ATTRIBUTES}>.*?</\3\s*>" r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -     　 \x1c-\x1f\x85]+")
 #: Elements without an end, elements inside a line, and elements that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -52,9 +53,15 @@ def parse(page: str) -> list[Node]:
     """Nodes in page order, parents before children; the first is the root. Text nodes have the tag #text."""
     root = Node("#root", (), None)
     nodes, at, stack = [root], root, [root]
-    for m in TOKEN.finditer(page):
-        tag = m.group(3)
+    tokens = TOKEN.finditer(page)
+    while m := next(tokens, None):
+        tag = m.group(5)
         if tag is None:
+            start = m.group(1)
+            if start and start.endswith("/>") and any(n.tag in ("svg", "math") for n in stack):
+                # closes itself there: the text goes on behind it
+                tokens = TOKEN.finditer(page, m.end(1))
+                continue
             s = m.group()
             if s[0] != "<" or s == "<":
                 if not s.isspace() or at.tag in INLINE or (at.children and at.children[-1].tag in INLINE):
@@ -64,7 +71,7 @@ def parse(page: str) -> list[Node]:
                     at.children.append(node)
             continue
         tag = tag.lower()
-        if m.group(2):
+        if m.group(4):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -82,7 +89,7 @@ def parse(page: str) -> list[Node]:
                 if stack[k].tag not in INLINE:
                     break
             at = stack[-1]
-        attrs = m.group(4)
+        attrs = m.group(6)
         names: list[str] = []
         if attrs and len(attrs) > 3:
             for a in ATTRIBUTE.finditer(attrs):
