@@ -31,11 +31,19 @@ BASE_RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+#: A private key runs to its END line, over header lines and base64, or without one as far as its body goes. Line
+#: ends may be written as \\n. What has been taken is not given back, so that no text takes more than linear time.
+_GAP = r"(?:\s|\\[nr])*+"
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:"
+    rf"(?:{_GAP}(?:[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\r\n\\])*+|[A-Za-z0-9+/=]++))*+{_GAP}-----END [A-Z ]{{0,40}}PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{{16,}}+={{0,2}}))*+(?:{_GAP}[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=\s*\Z)))?)"
+)
 #: Kinds that the method adds.
 MORE_RULES = (
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("pem", _PEM, 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
-    ("userinfo", r"://[A-Za-z0-9._%+-]{1,64}:[^\s/:@]{6,128}@", 0, 0),
+    ("userinfo", r"://[A-Za-z0-9._%+-]*+:[^\s/:@]+@", 0, 0),
 )
 RULES = BASE_RULES + MORE_RULES
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
