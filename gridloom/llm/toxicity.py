@@ -66,12 +66,11 @@ class ToxicityModel:
         total, found, cache, word = 0.0, [], self._cache, self.word
         if not text:
             return 0.0, found
-        low = text.lower()
-        spans = text if len(low) == len(text) else low
         plain = np.log1p(np.exp(self.bias))
-        for m in SENTENCE.finditer(low):
+        for m in SENTENCE.finditer(text):
             z = 0.0
-            for w in WORD.findall(m.group()):
+            # by sentence: lower-casing may change a text's length, and spans are those of the text as written
+            for w in WORD.findall(m.group().lower()):
                 x = cache.get(w)
                 z += word(w) if x is None else x
             if z == 0.0:
@@ -79,7 +78,7 @@ class ToxicityModel:
                 continue
             z += self.bias
             total += float(np.logaddexp(0.0, z))
-            if z >= 0 and spans is text:
+            if z >= 0:
                 found.append({"start": m.start(), "end": m.end(), "score": float(1 / (1 + np.exp(-z)))})
         return float(-np.expm1(-total)), found
 
@@ -100,7 +99,7 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 400, rate: float =
     kept = dict(zip(texts, labels, strict=True))  # copies count once
     texts, labels = list(kept), list(kept.values())
     y = np.array(labels, float)
-    bags = [[WORD.findall(m.group()) for m in SENTENCE.finditer(t.lower())] for t in texts]
+    bags = [[WORD.findall(m.group().lower()) for m in SENTENCE.finditer(t)] for t in texts]
     df = [Counter(), Counter()]
     for bag, c in zip(bags, labels, strict=True):
         df[int(c)].update({f for s in bag for w in s for f in buckets(w)})
