@@ -12,9 +12,11 @@ def test_band_shared_by_two_parents_alone(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_split", lambda parts, band: used.append(band) or split(parts, band))
     r = random.Random(8)
     some = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
-    phrase = some(199)
-    both = some(20) + phrase + some(20)
-    texts = [some(90) + phrase + some(90) for _ in range(12)] + [some(90) + both + some(90) for _ in range(2)]
+    texts = []
+    for k in range(16):
+        phrase = some(199)
+        both = some(k) + phrase + some(16 - k)
+        texts += [some(90) + phrase + some(90) for _ in range(6)] + [some(90) + both + some(90) for _ in range(2)]
     seen = {}
     for i, t in enumerate(texts):
         for a in range(len(t) - 199):
