@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .relational import binned_pairs, hash_order
+from .relational import array_median, binned_pairs, hash_order
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -81,17 +81,71 @@ def balanced_chunks(df: DataFrame, groups: list[str], *order: Column, low: int,
     return out.withColumn(name, chunk.cast("bigint")).drop("__n", "__r", "__k")
 
 
-def greedy_split(sizes: list[tuple[str, int]], shares: dict[str, float]) -> dict[str, str]:
-    """Components dealt, largest first, to the split furthest below its share. sizes is one row a component; it
-    must be small, as a table of components of one study is."""
-    total = sum(n for _, n in sizes)
-    have = dict.fromkeys(shares, 0)
-    out = {}
-    for name, n in sorted(sizes, key=lambda p: (-p[1], p[0])):
-        best = max(shares, key=lambda s: (shares[s] * total - have[s], s))
-        have[best] += n
-        out[name] = best
-    return out
+#: Components that a split is searched for: their vectors of counts come to the driver and go to every task.
+MAX_COMPONENTS = 200_000
+
+
+def _greedy(vectors, weights, fractions, seed: int):
+    """One restart: components in the order of their size, with jitter, each to the split whose error stays least (the
+    first on ties). Returns the objective and the split of each component."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    target = fractions[:, None] * vectors.sum(0)[None, :]
+    scale = np.maximum(target, 1.0)
+    have = np.zeros_like(target)
+    part = ((have - target) / scale) ** 2 @ weights
+    out = np.zeros(len(vectors), np.int64)
+    for c in np.argsort(-vectors[:, 0] * r.uniform(0.75, 1.25, len(vectors)), kind="stable"):
+        # only the row that takes the component changes
+        after = ((have + vectors[c] - target) / scale) ** 2 @ weights
+        best = int(np.argmin(np.round(after - part, 12)))
+        out[c] = best
+        have[best] += vectors[c]
+        part[best] = after[best]
+    return float(part.sum() + 1e6 * (have[:, 1:] <= 0).sum()), out
+
+
+def balanced_component_split(rows: DataFrame, component: str, levels: list[str], fractions: dict[str, float], restarts: int = 200, seed: int = 42) -> DataFrame:
+    """(component, split): whole components dealt so that sizes (weight 4) and the levels of some columns (weight 1 a column)
+    come near to the fractions in every split, the best of some greedy restarts; a level that a split lacks costs a
+    million. Counts are summed in the cluster, and restarts run side by side. A level needs one component a split."""
+    import numpy as np
+
+    size = rows.groupBy(component).agg(F.count("*").alias("n"))
+    if size.count() > MAX_COMPONENTS:
+        raise ValueError(f"more than {MAX_COMPONENTS} components")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in levels]))
+    counts = rows.select(component, each.alias("x")).filter("x.level is not null").groupBy(component, "x.column", "x.level").count().collect()
+    names = [(r[0], r[1]) for r in size.orderBy(component).collect()]
+    at = {c: i for i, (c, _) in enumerate(names)}
+    kinds = sorted({(r[1], r[2]) for r in counts})
+    place = {k: 1 + i for i, k in enumerate(kinds)}
+    vectors = np.zeros((len(names), 1 + len(kinds)))
+    vectors[:, 0] = [n for _, n in names]
+    for r in counts:
+        vectors[at[r[0]], place[(r[1], r[2])]] = r[3]
+    lacking = [k for k in kinds if (vectors[:, place[k]] > 0).sum() < len(fractions)]
+    if lacking:
+        raise ValueError(f"levels in fewer components than there are splits: {lacking}")
+    share = np.array(list(fractions.values()), float)
+    weights = np.array([4.0] + [1.0 / sum(c == k[0] for c, _ in kinds) for k in kinds])
+    spark = rows.sparkSession
+    data = spark.sparkContext.broadcast((vectors, weights, share))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"seed": b["id"], "objective": [_greedy(*data.value, seed + int(k))[0] for k in b["id"]]})
+
+    best = spark.range(restarts).repartition(min(restarts, 64)).mapInPandas(run, "seed bigint, objective double").orderBy("objective", "seed").first()
+    objective, parts = _greedy(vectors, weights, share, seed + best["seed"])
+    if objective >= 1e6:
+        raise ValueError("no restart gives every split every level")
+    kind = rows.schema[component].dataType.simpleString()
+    splits = list(fractions)
+    return spark.createDataFrame([(c, splits[k]) for (c, _), k in zip(names, parts.tolist(), strict=True)], f"`{component}` {kind}, split string")
 
 
 def impute_train_mean(df: DataFrame, train: Column, cols: list[str]) -> DataFrame:
@@ -106,13 +160,19 @@ def calibrate(df: DataFrame, fit_on: Column, y: str, p: str, name: str = "calibr
     return df.crossJoin(F.broadcast(line)).withColumn(name, F.col("__i") + F.col("__s") * F.col(p)).drop("__s", "__i")
 
 
-def reliability(neighbours: DataFrame, key: str, value: str, other: str, floor: float = 0.01, least: int = 5, limit: float = 4.0) -> DataFrame:
-    """Local outlier score |x - median| / max(MAD, floor) over each row's neighbours, and a flag of three kinds."""
-    med = neighbours.groupBy(key).agg(F.percentile(other, 0.5).alias("med"), F.any_value(value).alias("x"), F.count("*").alias("n"))
-    mad = neighbours.join(med.select(key, "med"), key).groupBy(key).agg(F.percentile(F.abs(F.col(other) - F.col("med")), 0.5).alias("mad"))
-    s = med.join(mad, key).withColumn("score", F.abs(F.col("x") - F.col("med")) / F.greatest(F.col("mad"), F.lit(floor)))
-    flag = F.when(F.col("n") < least, "too_few").when(F.col("score") >= limit, "unreliable").otherwise("reliable")
-    return s.select(key, "n", "med", "mad", "score", flag.alias("flag"))
+def reliability(rows: DataFrame, ids: list[str], pairs: DataFrame, value: str, order: Column, nearest: int = 14, floor: float = 0.01, least: int = 5, limit: float = 4.0) -> DataFrame:
+    """Local outlier score |x - median| / max(MAD, floor) over each row's nearest neighbours, and a flag: suspicious_low,
+    suspicious_high or keep. A row with fewer neighbours than `least`, or none, is kept. pairs: (row, other, dist) of
+    self_pairs(); order: the order of a row's pairs. Neighbours meet in one array of the row."""
+    own = rows.select(F.struct(*ids).alias("id"), F.col(value).alias("x"), F.lit(None).cast(f"struct<dist:double,tie:string,o:{rows.schema[value].dataType.simpleString()}>").alias("near"))
+    met = pairs.select(F.struct(*[F.col(f"row.{c}").alias(c) for c in ids]).alias("id"), F.lit(None).cast(rows.schema[value].dataType).alias("x"), F.struct("dist", order.alias("tie"), F.col(f"other.{value}").alias("o")).alias("near"))
+    g = own.unionByName(met).groupBy("id").agg(F.max("x").alias("x"), F.slice(F.array_sort(F.collect_list("near")), 1, nearest).alias("near"))
+    g = g.withColumn("o", F.transform("near", lambda p: p["o"])).withColumn("med", array_median(F.col("o")))
+    g = g.withColumn("mad", array_median(F.transform("o", lambda v: F.abs(v - F.col("med")))))
+    g = g.withColumn("score", F.abs(F.col("x") - F.col("med")) / F.greatest(F.col("mad"), F.lit(floor)))
+    n = F.size("near").cast("bigint")
+    flag = F.when((n < least) | F.col("score").isNull(), "keep").when((F.col("score") >= limit) & (F.col("x") < F.col("med")), "suspicious_low").when((F.col("score") >= limit) & (F.col("x") > F.col("med")), "suspicious_high").otherwise("keep")
+    return g.select("id.*", n.alias("n"), F.array_max(F.transform("near", lambda p: p["dist"])).alias("max_d"), "med", "mad", "score", flag.alias("flag"))
 
 
 def permuted_column(df: DataFrame, key: str, groups: list[str], col: str, seed: int = 42) -> DataFrame:

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from .relational import regression_metrics
 
-#: Rows a forest is fitted on at most: a fixed bound, drawn by hash, as the fit of trees is not linear in rows.
-TRAIN_ROWS = 20_000
-
-
 def regressors(seed: int = 42) -> dict:
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
@@ -24,18 +20,16 @@ def regressors(seed: int = 42) -> dict:
 
 
 def compare_regressors(df: DataFrame, features: list[str], y: str, train: Column, seed: int = 42) -> DataFrame:
-    """Fit each model on training rows, predict the others, and return the metrics by model."""
+    """Fit each model on all training rows, predict the others, and return the metrics by model."""
     from functools import reduce
 
     from pyspark.ml.feature import VectorAssembler
 
     data = VectorAssembler(inputCols=features, outputCol="features").transform(df.withColumn("y", F.col(y)).withColumn("__train", train))
     rows = data.filter("__train")
-    share = min(1.0, TRAIN_ROWS / max(1, rows.count()))
-    some = rows.filter(F.pmod(F.xxhash64(*features, "y"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     out = []
     for name, m in regressors(seed).items():
-        p = m.fit(some).transform(data.filter("not __train")).select(F.lit(name).alias("model"), "y", "prediction")
+        p = m.fit(rows).transform(data.filter("not __train")).select(F.lit(name).alias("model"), "y", "prediction")
         out.append(p.groupBy("model").agg(*regression_metrics("y", "prediction", 6)))
     return reduce(DataFrame.unionByName, out)
 

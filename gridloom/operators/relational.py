@@ -45,6 +45,30 @@ def binned_pairs(left: DataFrame, right: DataFrame, x: str, y: str, rx: str, ry:
     return out.filter(F.col("dist") <= radius).drop("__cx", "__cy", "__rx", "__ry")
 
 
+def self_pairs(df: DataFrame, ids: list[str], carry: list[str], x: str, y: str, radius: float, keys: list[str]) -> DataFrame:
+    """(row, other, dist): pairs of rows of a frame at most `radius` apart that agree in `keys`, in both directions; row and
+    other are structs of ids and carried columns. Each row asks its own cell and four of the eight around it, so a
+    pair meets once and is turned round after the exact test. Ids tell rows apart and are best numbers."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    half = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
+    side = lambda name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*dict.fromkeys([*ids, *carry])).alias(name), F.col(x).alias(f"{name}x"), F.col(y).alias(f"{name}y"), cell(x).alias(f"{name}i"), cell(y).alias(f"{name}j"))
+    a = side("a").withColumn("o", F.explode(half)).withColumn("ai", F.col("ai") + F.col("o.i")).withColumn("aj", F.col("aj") + F.col("o.j"))
+    b = side("b")
+    own = (F.col("o.i") == 0) & (F.col("o.j") == 0)
+    less = F.struct(*[F.col(f"a.{c}") for c in ids]) < F.struct(*[F.col(f"b.{c}") for c in ids])
+    dist = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    met = a.join(b, [F.col("ai") == F.col("bi"), F.col("aj") == F.col("bj"), *[F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys], (dist <= radius), (~own | less)])
+    both = F.explode(F.array(F.struct(F.col("a").alias("row"), F.col("b").alias("other")), F.struct(F.col("b").alias("row"), F.col("a").alias("other"))))
+    return met.select(dist.alias("dist"), both.alias("p")).select("p.row", "p.other", "dist")
+
+
+def array_median(values: Column) -> Column:
+    """Median of an array of numbers, null if it is empty."""
+    a = F.array_sort(values)
+    mid = lambda k: F.get(a, F.floor((F.size(a) - 1 + k) / 2).cast("int"))
+    return F.when(F.size(values) > 0, (mid(0) + mid(1)) / 2)
+
+
 def boxes_containing(points: DataFrame, boxes: DataFrame, x: str, y: str, width: float, low: tuple[str, str], high: tuple[str, str]) -> DataFrame:
     """Points joined to the boxes that hold them (edges included): boxes are dealt to the grid cells they touch."""
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))

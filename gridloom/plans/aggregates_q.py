@@ -272,17 +272,6 @@ def o06(t):
     return sampling.hash_sample(t.s.select("sid"), 500, "sid")
 
 
-@query("o07_o09_stratified_sample", S + ", c AS (SELECT tile, mo, COUNT(*) AS n FROM s GROUP BY tile, mo), tot AS (SELECT SUM(n) AS t FROM c), a AS (SELECT tile, mo, n, greatest(1, floor(n * 400 / t)) AS quota FROM c, tot) SELECT tile, mo, sid FROM (SELECT s.tile, s.mo, sid, quota, row_number() OVER (PARTITION BY s.tile, s.mo ORDER BY md5(concat_ws('-', sid, '42')), sid) AS r FROM s JOIN a ON s.tile = a.tile AND s.mo = a.mo) WHERE r <= quota")
-def o07(t):
-    return sampling.stratified(t.s, ["tile", "mo"], 400, "sid").select("tile", "mo", "sid")
-
-
-@query("o08_allocation", S + """, c AS (SELECT tile, mo, COUNT(*) AS n FROM s GROUP BY tile, mo), q AS (SELECT tile, mo, n, n * 1000 / (SELECT CAST(SUM(n) AS DOUBLE) FROM c) AS share FROM c), f AS (SELECT *, greatest(1, least(n, CAST(floor(share) AS BIGINT))) AS base FROM q),
-r AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, tile, mo) AS k, 1000 - SUM(base) OVER () AS rest FROM f) SELECT tile, mo, n, CAST(base + CAST(k <= rest AND base < n AS BIGINT) AS BIGINT) AS quota FROM r""")
-def o08(t):
-    return sampling.largest_remainder(t.s.groupBy("tile", "mo").agg(F.count("*").alias("n")), ["tile", "mo"], 1000)
-
-
 @query("o10_one_per_date", S + "SELECT d, sid FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY md5(concat_ws('-', sid, '42')), sid) AS r FROM s) WHERE r = 1")
 def o10(t):
     return R.first_by(t.s, ["d"], R.hash_order("sid"), F.col("sid")).select("d", "sid")

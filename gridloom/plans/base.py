@@ -39,6 +39,14 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+#: The columns that name a sounding, and the text made of them: numbers go through joins, the text is made at the end.
+SID = ["ok", "ln", "pk", "sk", "d"]
+
+
+def sid(of: str = ""):
+    return F.concat_ws("-", *[F.col(f"{of}{c}").cast("string") for c in SID[:4]], F.date_format(f"{of}d", "yyyyMMdd"))
+
+
 def soundings(li: DataFrame) -> DataFrame:
     """Line items as point measurements: id, place on a 109.8 km square, tile, date, values, flags."""
     d = F.to_date("l_shipdate")

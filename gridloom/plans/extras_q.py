@@ -67,14 +67,14 @@ def s03(t):
 
 @query("d10_stream_upsert", "SELECT user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id FROM events GROUP BY user_id")
 def stream(t):
-    from ..streaming.windows import upsert_batches
+    from ..streaming.windows import read_upserted, upsert_batches
 
     at = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     e = t("events").select("event_id", "user_id", "ts")
     e.select("event_id", "user_id", F.struct("ts", "event_id").alias("at")).write.parquet(f"{at}/in")
     src = t.spark.readStream.schema(t.spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
     upsert_batches(src, f"{at}/table", ["user_id"], "at", f"{at}/state").awaitTermination()
-    return t.spark.read.parquet(f"{at}/table").select("user_id", "event_id")
+    return read_upserted(t.spark, f"{at}/table", ["user_id"], "at").select("user_id", "event_id")
 
 
 QUERIES, SQL = base.QUERIES, base.SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("scalars_q", "joins_q", "aggregates_q", "spatial_q", "sources_q", "extras_q", "grid_q")
+MODULES = ("scalars_q", "joins_q", "aggregates_q", "spatial_q", "sources_q", "extras_q", "grid_q", "polygons_q", "splits_q")
 
 
 def _all(name: str) -> dict:

@@ -23,15 +23,21 @@ def a01_group_summary(t):
     g = t.s.filter(X.all_finite("v", "x", "y") & (F.col("q") > 0))
     g = g.withColumn("cell_col", F.floor(F.col("x") / 4000)).withColumn("cell_row", F.floor((109800 - F.col("y")) / 4000))
     frac = lambda c: F.count_if(c) / F.count("*").cast("double")
-    out = g.groupBy("tile", "d", "cell_row", "cell_col").agg(
-        F.count("*").alias("n_footprints"), R.mean_exact(F.col("v")).alias("mean_v"), F.percentile("v", 0.5).alias("median_v"), F.min("v").alias("min_v"), F.max("v").alias("max_v"),
+    # one list a group, of narrow rows; median, sets and ids are taken from it within the row
+    keys = ["tile", "d", "cell_row", "cell_col"]
+    out = g.groupBy(*keys).agg(
+        F.count("*").alias("n_footprints"), R.mean_exact(F.col("v")).alias("mean_v"), F.min("v").alias("min_v"), F.max("v").alias("max_v"),
         F.round(F.stddev_samp("v"), 6).alias("sd_v"), F.round(F.stddev_samp("v") / F.sqrt(F.count("*")), 6).alias("se_v"), R.mean_exact(F.col("q")).alias("mean_q"), F.sum(F.col("q").cast("decimal(18,2)")).cast("double").alias("total_q"),
-        R.sorted_distinct(F.col("flag")).alias("flags"), R.sorted_distinct(F.col("mode")).alias("modes"),
         F.count_if(F.col("flag") == "A").alias("n_flag_a"), F.count_if(F.col("flag") == "N").alias("n_flag_n"), F.count_if(F.col("mode") == "O").alias("n_mode_o"),
         frac(F.col("flag") == "A").alias("flag_a_fraction"), frac(F.col("mode") == "O").alias("mode_o_fraction"),
-        F.size(F.collect_set("sk")).cast("bigint").alias("n_suppliers"), (F.size(F.collect_set(F.col("sk") % 8)) == 1).alias("one_tile"),
-        F.array_join(F.array_sort(F.collect_list("sid")), ",").alias("row_ids"), (F.count("*") >= 3).alias("eligible_n3"), (F.count("*") >= 5).alias("eligible_n5"),
+        (F.count("*") >= 3).alias("eligible_n3"), (F.count("*") >= 5).alias("eligible_n5"), F.collect_list(F.struct("v", "flag", "mode", "sk", "sid")).alias("rows"),
     )
+    of = lambda k, f=lambda x: x: F.transform("rows", lambda r: f(r[k]))
+    several = lambda k: F.array_join(F.array_sort(F.array_distinct(of(k))), ";")
+    out = out.select(
+        "*", R.array_median(of("v")).alias("median_v"), several("flag").alias("flags"), several("mode").alias("modes"),
+        F.size(F.array_distinct(of("sk"))).cast("bigint").alias("n_suppliers"), (F.size(F.array_distinct(of("sk", lambda x: x % 8))) == 1).alias("one_tile"), F.array_join(F.array_sort(of("sid")), ",").alias("row_ids"),
+    ).drop("rows")
     two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
     return out.withColumn("aggregation_id", F.concat_ws("_", "tile", two("cell_row"), two("cell_col"), F.date_format("d", "yyyyMMdd")))
 

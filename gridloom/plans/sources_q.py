@@ -68,8 +68,8 @@ def s24(t):
     s = t("supplier").select("s_suppkey", "s_acctbal")
     io.replace_atomically(s, at)
     new = s.filter("s_acctbal < 0").withColumn("s_acctbal", F.lit(0.0))
-    io.replace_atomically(R.upsert(t.spark.read.parquet(at), new, ["s_suppkey"]), at)
-    return t.spark.read.parquet(at)
+    io.replace_atomically(R.upsert(io.read_current(t.spark, at), new, ["s_suppkey"]), at)
+    return io.read_current(t.spark, at)
 
 
 @query("s26_listing_filter", "SELECT url FROM pages WHERE regexp_matches(url, '(page=|utm_)') AND NOT regexp_matches(url, '\\.html')")

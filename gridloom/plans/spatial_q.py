@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import algorithms as A
-from ..operators import sampling
+from ..operators import relational as R
 from . import base
 from .aggregates_q import PRED, predictions
 from .base import S, query
@@ -71,15 +71,6 @@ def g10(t):
     return t.s.groupBy(F.floor(F.col("x") / 25000).alias("chunk_x"), F.floor(F.col("y") / 25000).alias("chunk_y")).agg(F.count("*").alias("n"), F.when(hi > lo, lo).alias("xmin"), F.when(hi > lo, hi).alias("xmax"))
 
 
-@query("g12_g13_supersampled_mask", "WITH g AS (SELECT r AS row, c AS col, r + (i + 0.5) / 4.0::DOUBLE AS py, c + (j + 0.5) / 4.0::DOUBLE AS px FROM range(0, 12) a(r), range(0, 12) b(c), range(0, 4) d(i), range(0, 4) e(j)) SELECT row, col, avg(CASE WHEN px >= 2.3 AND px < 9.6 AND py >= 1.1 AND py < 8.9 AND px + py < 15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fraction FROM g GROUP BY row, col")
-def g12(t):
-    n = lambda k, name: t.spark.range(k).withColumnRenamed("id", name)
-    g = n(12, "row").crossJoin(n(12, "col")).crossJoin(n(4, "i")).crossJoin(n(4, "j"))
-    py, px = F.col("row") + (F.col("i") + 0.5) / 4.0, F.col("col") + (F.col("j") + 0.5) / 4.0
-    inside = (px >= 2.3) & (px < 9.6) & (py >= 1.1) & (py < 8.9) & (px + py < 15)
-    return g.groupBy("row", "col").agg(F.avg(inside.cast("double")).alias("fraction"))
-
-
 @query("g14_a25_zonal_mean", PX + "SELECT label, code, round(avg(val), 8) AS mean, COUNT(*) AS n, round(SUM(val), 6) AS total FROM px GROUP BY label, code")
 def g14(t):
     return pixels(t).groupBy("label", "code").agg(F.round(F.avg("val"), 8).alias("mean"), F.count("*").alias("n"), F.round(F.sum("val"), 6).alias("total"))
@@ -165,26 +156,6 @@ def m03(t):
     return A.balanced_chunks(t.s, ["tile", "yr", "mo"], F.col("sid"), low=4, high=10).select("sid", "chunk")
 
 
-@query("m05_m06_leakage_components")
-def m05(t):
-    orders = t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.col("o_custkey").alias("product"))
-    return A.leakage_components(orders, "d", "product").groupBy("component").agg(F.count("*").alias("n_rows"), F.countDistinct("d").alias("n_dates"), F.countDistinct("product").alias("n_products"))
-
-
-@query("m07_greedy_split")
-def m07(t):
-    # one row a region of the study: a few dozen
-    sizes = [(r["n_name"], r["n"]) for r in t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").count().withColumnRenamed("count", "n").collect()]
-    split = A.greedy_split(sizes, {"train": 0.7, "val": 0.15, "test": 0.15})
-    return t.spark.createDataFrame([(k, n, split[k]) for k, n in sizes], "n_name string, n bigint, split string")
-
-
-@query("m08_m09_m11_m12_group_split", "SELECT CAST(o_orderdate AS DATE) AS d, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'val' ELSE 'test' END AS split, COUNT(*) AS n FROM (SELECT o_orderdate, CAST(('0x' || substr(md5(concat_ws('-', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '42')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM orders) GROUP BY 1, 2")
-def m08(t):
-    o = t("orders").select(F.to_date("o_orderdate").alias("d"))
-    return sampling.group_split(o, ["d"], {"train": 0.7, "val": 0.15, "test": 0.15}).groupBy("d", "split").agg(F.count("*").alias("n"))
-
-
 @query("m10_year_split", S + "SELECT CASE WHEN yr < 1999 THEN 'train' WHEN yr < 2001 THEN 'val' ELSE 'test' END AS split, COUNT(*) AS n FROM s GROUP BY 1")
 def m10(t):
     return t.s.groupBy(F.when(F.col("yr") < 1999, "train").when(F.col("yr") < 2001, "val").otherwise("test").alias("split")).agg(F.count("*").alias("n"))
@@ -208,21 +179,15 @@ def m21(t):
     return n.groupBy("label").agg(F.round(F.sum("w"), 8).alias("total"), F.round(1 / F.sum(F.col("w") * F.col("w")), 6).alias("effective_pixels"))
 
 
-@query("m22_a39_permutation", PRED + ", o AS (SELECT *, coalesce(lead(pred) OVER (PARTITION BY tile, mo ORDER BY md5(concat_ws('-', sid, '42')), sid), first_value(pred) OVER (PARTITION BY tile, mo ORDER BY md5(concat_ws('-', sid, '42')), sid)) AS pp FROM p) SELECT tile, round(avg(abs(pp - obs)) - avg(abs(pred - obs)), 8) AS importance FROM o GROUP BY tile")
-def m22(t):
-    p = A.permuted_column(predictions(t).select("sid", "tile", "mo", "obs", "pred"), "sid", ["tile", "mo"], "pred")
-    mae = lambda c: F.avg(F.abs(F.col(c) - F.col("obs")))
-    return p.groupBy("tile").agg(F.round(mae("pred_permuted") - mae("pred"), 8).alias("importance"))
-
-
-@query("m23_reliability", S + """, nb AS (SELECT a.sid, a.v / 10000 AS x, b.v / 10000 AS o FROM s a JOIN s b ON a.tile = b.tile AND a.d = b.d AND a.sid <> b.sid), m AS (SELECT sid, any_value(x) AS x, median(o) AS med, COUNT(*) AS n FROM nb GROUP BY sid), e AS (SELECT nb.sid, median(abs(o - med)) AS mad FROM nb JOIN m ON nb.sid = m.sid GROUP BY nb.sid)
-SELECT m.sid, n, round(med, 8) AS med, round(mad, 8) AS mad, round(abs(x - med) / greatest(mad, 0.01), 4) AS score, CASE WHEN n < 5 THEN 'too_few' WHEN abs(x - med) / greatest(mad, 0.01) >= 4 THEN 'unreliable' ELSE 'reliable' END AS flag FROM m JOIN e ON m.sid = e.sid""")
+@query("m23_reliability", S + """, nb AS (SELECT * FROM (SELECT a.sid, b.v / 10000 AS o, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist, row_number() OVER (PARTITION BY a.sid ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.sid) AS r FROM s a JOIN s b ON a.d = b.d AND a.sid <> b.sid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 144000000) WHERE r <= 14),
+m AS (SELECT sid, median(o) AS med, COUNT(*) AS n, max(dist) AS max_d FROM nb GROUP BY sid), e AS (SELECT nb.sid, median(abs(o - med)) AS mad FROM nb JOIN m ON nb.sid = m.sid GROUP BY nb.sid), x AS (SELECT sid, max(v) / 10000 AS x FROM s GROUP BY sid),
+z AS (SELECT x.sid, x, coalesce(n, 0) AS n, max_d, med, mad, abs(x - med) / greatest(mad, 0.01) AS score FROM x LEFT JOIN m ON x.sid = m.sid LEFT JOIN e ON x.sid = e.sid)
+SELECT sid, n, round(max_d, 4) AS max_d, round(med, 8) AS med, round(mad, 8) AS mad, round(CASE WHEN med IS NOT NULL THEN score END, 4) AS score, CASE WHEN n < 5 OR med IS NULL THEN 'keep' WHEN score >= 4 AND x < med THEN 'suspicious_low' WHEN score >= 4 AND x > med THEN 'suspicious_high' ELSE 'keep' END AS flag FROM z""")
 def m23(t):
-    a = t.s.select("sid", "tile", "d", (F.col("v") / 10000).alias("x"))
-    b = t.s.select(F.col("sid").alias("o_sid"), "tile", "d", (F.col("v") / 10000).alias("o"))
-    nb = a.join(b, ["tile", "d"]).filter("sid <> o_sid")
-    r = A.reliability(nb, "sid", "x", "o")
-    return r.select("sid", "n", F.round("med", 8).alias("med"), F.round("mad", 8).alias("mad"), F.round("score", 4).alias("score"), "flag")
+    rows = t.s.select(*base.SID, "x", "y", (F.col("v") / 10000).alias("value"))
+    pairs = R.self_pairs(rows, base.SID, ["value"], "x", "y", 12000.0, ["d"])
+    r = A.reliability(rows, base.SID, pairs, "value", base.sid("other."))
+    return r.select(base.sid().alias("sid"), "n", F.round("max_d", 4).alias("max_d"), F.round("med", 8).alias("med"), F.round("mad", 8).alias("mad"), F.round("score", 4).alias("score"), "flag")
 
 
 @query("m24_feature_range", S + ", r AS (SELECT min(v) AS lo, quantile_cont(v, 0.01) AS q01, avg(v) AS mean, quantile_cont(v, 0.99) AS q99, max(v) AS hi FROM s WHERE yr < 1999) SELECT tile, COUNT(*) FILTER (WHERE v BETWEEN lo AND hi) AS n_in, COUNT(*) FILTER (WHERE v BETWEEN q01 AND q99) AS n_core FROM s, r GROUP BY tile")
@@ -255,14 +220,6 @@ def m27(t):
     return A.early_stop(h, "tile", "epoch", "loss", 12)
 
 
-@query("o11_paired_bootstrap")
-def o11(t):
-    p = predictions(t).groupBy("tile").agg(F.avg(F.abs(F.col("pred") - F.col("obs"))).alias("mae_a"), F.avg(F.abs(F.col("obs") - 0.4)).alias("mae_b"))
-    b = sampling.bootstrap_means(p, "tile", ["mae_a", "mae_b"], 1000).withColumn("gain", F.col("mae_b") - F.col("mae_a"))
-    q = F.percentile("gain", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return b.agg(q.alias("q"), F.avg((F.col("gain") > 0).cast("double")).alias("p_gain")).select(*[F.round(F.col("q")[i], 8).alias(n) for i, n in enumerate(("low", "median", "high"))], "p_gain")
-
-
 @query("m16_m17_m18_regressors")
 def m16(t):
     from ..operators.models import compare_regressors

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+#: Paths of tables that go when the `passing` block in which they were written ends, the innermost block last.
+_passing: list[list[tuple[SparkSession, str]]] = []
+
+
+def materialised(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors. In a `passing` block
+    the table goes at its end, with outlive at the end of the block around it, if there is one."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    around = _passing[:-1] if outlive else _passing
+    if around:
+        around[-1].append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Tables written within are removed at the end, but for those that outlive it. Frames over them must be done by then."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _passing.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

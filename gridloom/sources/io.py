@@ -150,14 +150,49 @@ def write_json(spark: SparkSession, path: str, data: dict) -> None:
     out.close()
 
 
-def replace_atomically(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap the folders: readers see the old or the new table, never a part."""
-    spark = df.sparkSession
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """(number, kind, folder) of the complete versions of a table, in order. A folder without its _SUCCESS mark is none."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    df.write.mode("overwrite").parquet(path + ".part")
-    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hadoop.Path(path)):
-        fs.delete(hadoop.Path(path + ".old"), True)
-        fs.rename(hadoop.Path(path), hadoop.Path(path + ".old"))
-    fs.rename(hadoop.Path(path + ".part"), hadoop.Path(path))
-    fs.delete(hadoop.Path(path + ".old"), True)
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = []
+    for f in fs.listStatus(root):
+        part = f.getPath().getName().split("-")
+        if len(part) == 3 and part[0] == "v" and fs.exists(hadoop.Path(f.getPath(), "_SUCCESS")):
+            found.append((int(part[1]), part[2], f.getPath().toString()))
+    return sorted(found)
+
+
+def add_version(df: DataFrame, path: str, number: int | None = None, kind: str = "full") -> None:
+    """Write the next version of a table, or the one of a given number (again, if it is there). Nothing is renamed: a
+    version counts once Spark has marked its folder as complete, so readers see the old or the new table, and a crash
+    at any point leaves the old one. What the full version before the last one no longer needs is removed."""
+    spark = df.sparkSession
+    before = _versions(spark, path)
+    number = number if number is not None else (before[-1][0] + 1 if before else 1)
+    df.write.mode("overwrite").parquet(f"{path}/v-{number:012d}-{kind}")
+    fulls = [n for n, k, _ in before if k == "full" and n < number]
+    if kind == "full" and fulls:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for n, _, folder in before:
+            if n < fulls[-1]:
+                old = hadoop.Path(folder)
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def replace_atomically(df: DataFrame, path: str) -> None:
+    """A new full version of a table; `read_current` reads the last complete one."""
+    add_version(df, path)
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The last full version of a table and the deltas after it, as they were written."""
+    held = _versions(spark, path)
+    last = max((n for n, k, _ in held if k == "full"), default=-1)
+    return spark.read.parquet(*[f for n, k, f in held if n > last or (n == last and k == "full")])
+
+
+def has_version(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path))

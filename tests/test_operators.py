@@ -101,9 +101,32 @@ def test_balanced_chunks(spark):
 
 
 def test_largest_remainder_meets_the_total(spark):
-    c = spark.createDataFrame([("a", 1), ("b", 50), ("c", 149), ("d", 300)], "k string, n long")
-    got = sampling.largest_remainder(c, ["k"], 100).collect()
-    assert sum(r.quota for r in got) in (100, 101) and all(1 <= r.quota <= r.n for r in got)
+    import random
+
+    def one_by_one(sizes, total):
+        """Unit after unit, as the rule says."""
+        total = min(total, sum(sizes))
+        share = [n * total / sum(sizes) for n in sizes]
+        out = [int(x) for x in share]
+        if total >= len(sizes):
+            out = [max(1, x) for x in out]
+        while sum(out) > total:
+            k = max((k for k in range(len(sizes)) if out[k] > 1), key=lambda k: (out[k] - share[k], -k))
+            out[k] -= 1
+        while sum(out) < total:
+            k = max((k for k in range(len(sizes)) if out[k] < sizes[k]), key=lambda k: (share[k] - out[k], -k))
+            out[k] += 1
+        return out
+
+    r = random.Random(4)
+    groups = [[1, 50, 149, 300], [1] * 40 + [500, 700], [3, 3, 3], [1, 1, 1, 1, 90]]
+    groups += [[r.choice([1, 1, 2, 9, 200, 1000]) for _ in range(r.randint(1, 30))] for _ in range(20)]
+    rows = [(g, k, n) for g, sizes in enumerate(groups) for k, n in enumerate(sizes)]
+    counts = spark.createDataFrame(rows, "g long, k long, n long")
+    for total in (1, 7, 45, 100):
+        got = {(x.g, x.k): x.quota for x in sampling.largest_remainder(counts, ["k"], total, within=["g"]).collect()}
+        for g, sizes in enumerate(groups):
+            assert [got[g, k] for k in range(len(sizes))] == one_by_one(sizes, total)
 
 
 def test_group_split_keeps_groups_whole(spark):
@@ -113,9 +136,30 @@ def test_group_split_keeps_groups_whole(spark):
 
 
 def test_reliability_flags(spark):
-    rows = [("ok", 1.0, 1.0 + 0.01 * i) for i in range(6)] + [("bad", 9.0, 1.0 + 0.01 * i) for i in range(6)] + [("few", 1.0, 1.0)]
-    df = spark.createDataFrame(rows, "id string, x double, o double")
-    assert {r.id: r.flag for r in A.reliability(df, "id", "x", "o").collect()} == {"ok": "reliable", "bad": "unreliable", "few": "too_few"}
+    from statistics import median
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(i, int(r.integers(2)), float(r.uniform(0, 100)), float(r.uniform(0, 100)), float(r.choice([1.0, 1.1, 9.0, -7.0]))) for i in range(90)] + [(200, 0, 900.0, 900.0, 5.0)]
+    df = spark.createDataFrame(rows, "id long, g long, x double, y double, v double")
+    pairs = R.self_pairs(df, ["id"], ["v"], "x", "y", 25.0, ["g"])
+    got = {x.id: x for x in A.reliability(df, ["id"], pairs, "v", F.col("other.id").cast("string"), nearest=6).collect()}
+    assert set(got) == {x[0] for x in rows}
+    seen = set()
+    for i, g, x, y, v in rows:
+        near = sorted((np.hypot(x - p, y - q), str(j), w) for j, h, p, q, w in rows if j != i and h == g and np.hypot(x - p, y - q) <= 25)[:6]
+        o = [w for *_, w in near]
+        assert got[i].n == len(o)
+        if not o:
+            assert got[i].med is None and got[i].flag == "keep"
+            continue
+        med = median(o)
+        score = abs(v - med) / max(median([abs(w - med) for w in o]), 0.01)
+        want = "keep" if len(o) < 5 or score < 4 or v == med else "suspicious_low" if v < med else "suspicious_high"
+        seen.add(want)
+        assert got[i].med == pytest.approx(med) and got[i].score == pytest.approx(score) and got[i].flag == want
+    assert seen == {"keep", "suspicious_low", "suspicious_high"}
 
 
 def test_early_stop(spark):
@@ -124,9 +168,88 @@ def test_early_stop(spark):
     assert (r.best_epoch, r.best_loss, r.stop_epoch) == (1, 3.0, 4)
 
 
-def test_greedy_split_balances():
-    split = A.greedy_split([("a", 70), ("b", 15), ("c", 15)], {"train": 0.7, "val": 0.15, "test": 0.15})
-    assert split["a"] == "train" and {split["b"], split["c"]} == {"val", "test"}
+def test_component_split(spark):
+    rows = [(c, k % 3, "ab"[c % 2]) for c in range(30) for k in range(3 + c % 5 * 4)]
+    df = spark.createDataFrame(rows, "c long, mo long, kind string")
+    shares = {"train": 0.7, "val": 0.15, "test": 0.15}
+    got = {r.c: r.split for r in A.balanced_component_split(df, "c", ["mo", "kind"], shares, restarts=12).collect()}
+    assert set(got) == set(range(30))
+    for name, share in shares.items():
+        mine = [x for x in rows if got[x[0]] == name]
+        assert abs(len(mine) / len(rows) - share) < 0.05 and {x[1] for x in mine} == {0, 1, 2} and {x[2] for x in mine} == {"a", "b"}
+    with pytest.raises(ValueError, match="fewer components"):
+        A.balanced_component_split(df.filter("c < 2"), "c", ["kind"], shares)
+
+
+def test_greedy_restart_takes_the_least_error():
+    import numpy as np
+
+    v, w, share = np.array([[70.0, 70], [15, 15], [15, 15]]), np.array([4.0, 1]), np.array([0.7, 0.15, 0.15])
+    score, part = A._greedy(v, w, share, 1)
+    assert score == pytest.approx(0) and part[0] == 0 and set(part[1:]) == {1, 2}
+
+
+def test_polygons(spark):
+    from gridloom.operators import polygons as P
+
+    ring = lambda *c: [(float(a), float(b)) for a, b in c]
+    kind = "id long, ring array<struct<x:double,y:double>>"
+    shapes = {1: ring((1, 1), (9, 2), (4, 4), (5, 9), (0.5, 6)), 2: ring((3, 3), (7, 3), (7, 7), (3, 7)), 3: ring((20, 20), (21, 20), (20, 21))}
+
+    def holds(r, x, y):
+        n = 0
+        for (xa, ya), (xb, yb) in zip(r, r[1:] + r[:1]):
+            n += (ya > y) != (yb > y) and x < (xb - xa) * (y - ya) / (yb - ya) + xa
+        return n % 2 == 1
+
+    polygons = spark.createDataFrame(list(shapes.items()), kind)
+    spots = [(i * 0.37 + 0.011, j * 0.41 + 0.007) for i in range(30) for j in range(28)]
+    points = spark.createDataFrame(spots, "px double, py double")
+    want = {(x, y, k) for x, y in spots for k, r in shapes.items() if holds(r, x, y)}
+    for width in (0.7, 3.0, 50.0):
+        met = P.points_in_polygons(points, polygons, "px", "py", "ring", width)
+        assert {(r.px, r.py, r.id) for r in met.collect()} == want
+        assert "NestedLoop" not in met._jdf.queryExecution().toString()
+    codes = {(r.cx, r.cy): r.code for r in P.region_codes(polygons, "ring", 1.0, "id").collect()}
+    assert codes == {(i, j): max(k for k, r in shapes.items() if holds(r, i + 0.5, j + 0.5)) for i in range(25) for j in range(25) if any(holds(r, i + 0.5, j + 0.5) for r in shapes.values())}
+    part = {(r.id, r.cx, r.cy): r.fraction for r in P.cell_fractions(polygons, "ring", 1.0).collect()}
+    for k, r in shapes.items():
+        for i in range(22):
+            for j in range(22):
+                share = sum(holds(r, i + (a + 0.5) / 4, j + (b + 0.5) / 4) for a in range(4) for b in range(4)) / 16
+                assert part.get((k, i, j), 0) == share
+    assert P.points_in_polygons(points, polygons.limit(0), "px", "py", "ring", 1.0).count() == 0
+
+
+def test_clip_and_hull(spark):
+    from gridloom.operators import polygons as P
+
+    kind = "id long, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>"
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    rows = [(1, square, [(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0)]), (2, square, [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]), (3, square, [(9.0, 9.0), (10.0, 9.0), (9.0, 10.0)]), (4, [(0.0, 0.0), (6.0, 0.0), (0.0, 6.0)], square)]
+    got = spark.createDataFrame(rows, kind).withColumn("c", P.clip(F.col("a"), F.col("b"))).select("id", P.ring_area(F.col("c")).alias("area")).collect()
+    assert {r.id: pytest.approx(r.area) for r in got} == {1: 4.0, 2: 1.0, 3: 0.0, 4: 14.0}
+    crossed, dented = [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0)], [(0.0, 0.0), (4.0, 0.0), (1.0, 1.0), (0.0, 4.0)]
+    rings = spark.createDataFrame([(1, crossed), (2, dented), (3, square[::-1])], "id long, ring array<struct<x:double,y:double>>")
+    hulls = P.repaired(rings, "ring").select("id", F.size("ring").alias("n"), P.ring_area(F.col("ring")).alias("area")).collect()
+    assert {r.id: (r.n, r.area) for r in hulls} == {1: (4, 16.0), 2: (3, 8.0), 3: (4, 16.0)}
+
+
+def test_versions_survive_a_crash(spark, tmp_path):
+    at = str(tmp_path / "log")
+    table = lambda *v: spark.createDataFrame([(x,) for x in v], "v long")
+    read = lambda: sorted(r.v for r in io.read_current(spark, at).collect())
+    io.replace_atomically(table(*range(10)), at)
+    # a writer that dies leaves a folder without its mark
+    table(99).write.parquet(f"{at}/v-{2:012d}-full")
+    (tmp_path / "log" / f"v-{2:012d}-full" / "_SUCCESS").unlink()
+    assert read() == list(range(10))
+    old = io.read_current(spark, at)
+    io.replace_atomically(old.unionByName(table(10)), at)
+    assert read() == list(range(11)) and old.count() == 10
+    io.replace_atomically(table(1), at)
+    io.replace_atomically(table(2), at)
+    assert read() == [2] and len(list((tmp_path / "log").iterdir())) == 2
 
 
 def test_no_nested_loop_in_spatial_joins(spark):
@@ -162,7 +285,23 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert {r.composite for r in spark.read.parquet(str(tmp_path / "out")).collect()} <= {121, 145}
     W.upsert_batches(spark.readStream.schema("k string, at string, v double").json(src), str(tmp_path / "table"), ["k"], "at", str(tmp_path / "c2")).awaitTermination()
-    assert [r.v for r in spark.read.parquet(str(tmp_path / "table")).collect()] == [5.0]
+    assert [r.v for r in W.read_upserted(spark, str(tmp_path / "table"), ["k"], "at").collect()] == [5.0]
+
+
+def test_upserts_compact_and_run_again(spark, tmp_path, monkeypatch):
+    from gridloom.streaming import windows as W
+
+    monkeypatch.setattr(W, "COMPACT", 3)
+    src, at = str(tmp_path / "in"), str(tmp_path / "table")
+    for k in range(8):
+        rows = [("a", k, k * 10), (f"k{k}", 1, k)] + ([("a", 0, -1)] if k == 7 else [])
+        spark.createDataFrame(rows, "k string, at long, v long").coalesce(1).write.mode("append").json(src)
+    stream = spark.readStream.schema("k string, at long, v long").option("maxFilesPerTrigger", 1).json(src)
+    W.upsert_batches(stream, at, ["k"], "at", str(tmp_path / "c")).awaitTermination()
+    got = {r.k: r.v for r in W.read_upserted(spark, at, ["k"], "at").collect()}
+    assert got == {"a": 70} | {f"k{k}": k for k in range(8)}
+    io.add_version(io.read_current(spark, at).limit(0), at, 6, "delta")  # a batch that is run again replaces its folder
+    assert len(W.read_upserted(spark, at, ["k"], "at").collect()) <= len(got)
 
 
 def test_grid_squares(spark):
