@@ -17,6 +17,7 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from ..operators.algorithms import components as components_of
+from .common import passing, small, small_batches, table, written
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -35,25 +37,30 @@ BLOCK = 1 << 15
 #: Near copies of a corpus stage: words of a shingle, and the least Jaccard similarity (4 / 5). op5 keeps its own.
 NEAR_WORDS = 5
 NEAR = (4, 5)
-#: Shingles that more texts have among their first stand last in the order, the most frequent of them at most. Any
-#: order gives the same pairs.
-HOT_CLASSES = 50
-HOT_SHINGLES = 100_000
-
-
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64-bit SimHash of one text; ASCII letters are lower-cased, ASCII white space separates words."""
+#: Shingles are ordered by how often their bucket occurs: so many bits of the hash name it. Any order gives the same pairs.
+SKETCH_BITS = 20
+SKETCH_PARTS = 64
+#: Classes, and shingles of all of them, in one block of a group that is compared as a whole.
+BLOCK_CLASSES = 512
+BLOCK_SHINGLES = 1 << 20
+#: Shingles in one step of that comparison.
+STEP = 4096
+
+
+def _hashes(text: str | None, words: int) -> list[int]:
+    """XXH64 of the word shingles, repeats included; ASCII letters are lower-cased, ASCII white space separates
+    words. Fewer words are one shingle; none have none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
     if len(w) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(w), SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        whole = b" ".join(w)
-        starts = [0, *ends[:-words].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(whole[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(w), SEED)] if w else []
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    whole = b" ".join(w)
+    starts = [0, *ends[:-words].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return [digest(whole[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+
+
+def _majority(hashes: list[int]) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
         bits = np.unpackbits(np.array(hashes[at : at + BLOCK], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -61,6 +68,11 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """Unsigned 64-bit SimHash of one text; zero if it has no words."""
+    return _majority(_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` and fp, the fingerprint as a signed 64-bit number."""
     small_batches(docs.sparkSession)
@@ -80,24 +92,9 @@ def _bit(k: int) -> int:
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, root) for every node; root is the smallest fp reachable. edges: (u, v), either direction.
-    Large-star, small-star: each step is one shuffle of the edges, and the number of steps grows with
-    the logarithm of a component's size."""
-    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = written(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return nodes.join(e.groupBy(F.col("u").alias("fp")).agg(F.min("v").alias("root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    """(fp, root) for every node; root is the smallest fp reachable. edges: (u, v), either direction."""
+    found = components_of(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
 def link_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -126,85 +123,192 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep
     """(key, columns `keep`, fp, component_id): component_id is the smallest key reachable by links."""
     rows = written(fingerprints(docs, text=text, keep=(key, *keep)), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "classes")
-    linked = link_components(classes.select("fp"), max_bits).join(classes, "fp")
+    with passing():
+        linked = written(link_components(classes.select("fp"), max_bits), "roots", outlive=True).join(classes, "fp")
     ids = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(ids, "fp").select(key, *keep, "fp", "component_id")
 
 
 def shingles(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
-    """Sorted distinct 62-bit hashes of the word shingles of one text; a shorter text is one shingle."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))]
-    return np.unique(np.array(hashes, np.uint64) >> np.uint64(2)).view(np.int64)
+    """Sorted distinct 62-bit hashes of the word shingles of one text; a text without words has one."""
+    return np.unique(np.array(_hashes(text, words) or [0], np.uint64) >> np.uint64(2)).view(np.int64)
+
+
+def _sketch(docs: DataFrame, text: str) -> np.ndarray:
+    """How often shingles occur, by bucket of the hash, on a scale of logarithms in one byte. What a task sends and
+    what is broadcast have a fixed size; more shingles make the order less sharp, not wrong."""
+    buckets, width = 1 << SKETCH_BITS, max(1, (1 << SKETCH_BITS) // SKETCH_PARTS)
+
+    def parts(total: np.ndarray, names) -> pa.RecordBatch:
+        held = [k for k in names if total[k * width : (k + 1) * width].any()]
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([zlib.compress(total[k * width : (k + 1) * width].tobytes(), 1) for k in held], pa.binary())], ["part", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for b in batches:
+            some = [shingles(t) for t in b.column(0).to_pylist()]
+            if some:
+                total += np.bincount(np.concatenate(some) >> (62 - SKETCH_BITS), minlength=buckets)
+        yield parts(total, range(buckets // width))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k * width : (k + 1) * width] += np.frombuffer(zlib.decompress(c), np.int64)
+        yield parts(total, range(buckets // width))
+
+    kind = "part int, counts binary"
+    total = np.zeros(buckets, np.int64)
+    for r in docs.select(text).mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect():
+        total[r.part * width : (r.part + 1) * width] += np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
+    return np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
 
 
-def _sets(docs: DataFrame, text: str, hot: np.ndarray | None = None, whole: bool = False) -> DataFrame:
-    """(c, n, end, s): class and number of shingles of each different text, and those that a near copy must share
-    one of: the first n - 0.8 n + 1, hot ones last in the order; end is the last of them. whole: all shingles."""
+def _prefixes(docs: DataFrame, text: str) -> DataFrame:
+    """(c, n, fp, s): class, number of shingles and fingerprint of each different text, and those shingles that a near
+    copy must share one of: the first n - 0.8 n + 1, rare ones first."""
     small_batches(docs.sparkSession)
-    late = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
+    often = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = often.value
         for b in batches:
-            n, end, some = [], [], []
+            n, fp, some = [], [], []
             for t in b.column(1).to_pylist():
-                h = shingles(t)
+                whole = _hashes(t, NEAR_WORDS)
+                fp.append(_majority(whole))
+                h = np.unique(np.array(whole or [0], np.uint64) >> np.uint64(2)).view(np.int64)
                 n.append(len(h))
-                if not whole:
-                    if late is not None:
-                        h = np.sort(np.where(np.isin(h, late.value), h | (1 << 62), h))
-                    h = h[: len(h) + 1 - -(-len(h) * NEAR[0] // NEAR[1])]
-                end.append(int(h[-1]))
-                some.append(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(end, pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["c", "n", "end", "s"])
+                # the level goes before the hash, so that the order is that of the numbers
+                h = np.sort((level[h >> (62 - SKETCH_BITS)].astype(np.int64) << 54) | (h >> 8))
+                some.append(h[: len(h) + 1 - -(-len(h) * NEAR[0] // NEAR[1])])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(some, pa.list_(pa.int64()))], ["c", "n", "fp", "s"])
+
+    return docs.select("__copy", text).mapInArrow(run, "c bigint, n bigint, fp bigint, s array<bigint>").dropDuplicates(["c"])
+
+
+def _sets(docs: DataFrame, asked: DataFrame, text: str) -> DataFrame:
+    """(c, n, s): all shingles of the classes asked for."""
+    small_batches(docs.sparkSession)
 
-    return docs.select("__copy", text).mapInArrow(run, "c bigint, n bigint, end bigint, s array<bigint>").dropDuplicates(["c"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [shingles(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in some], pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["c", "n", "s"])
 
+    asked = small(written(asked.select(F.col("c").alias("__copy")).distinct(), "asked"))
+    some = docs.select("__copy", text).join(asked, "__copy", "left_semi")
+    return written(some.mapInArrow(run, "c bigint, n bigint, s array<bigint>").dropDuplicates(["c"]), "sets")
 
-def _verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+
+def _linked(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The pairs (u, v) of classes whose shingle sets have a Jaccard similarity of NEAR or more."""
-    pairs = written(pairs.select("u", "v"), "pairs")
-    asked = pairs.select(F.col("u").alias("__copy")).unionByName(pairs.select(F.col("v").alias("__copy"))).distinct()
-    sets = written(_sets(docs.join(asked, "__copy", "left_semi"), text, whole=True).select("c", "n", "s"), "sets")
+    pairs = written(pairs, "pairs")
+    sets = _sets(docs, pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))), text)
     side = lambda k: sets.select(F.col("c").alias(k), F.col("n").alias(f"n_{k}"), F.col("s").alias(f"s_{k}"))
-    both = F.size(F.array_intersect("s_u", "s_v"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").filter(both * sum(NEAR) >= (F.col("n_u") + F.col("n_v")) * NEAR[0]).select("u", "v")
+    both = side("u").join(small(pairs), "u").join(side("v"), "v")
+    return both.filter(F.size(F.array_intersect("s_u", "s_v")) * sum(NEAR) >= (F.col("n_u") + F.col("n_v")) * NEAR[0]).select("u", "v")
+
+
+def labels(sets: list[np.ndarray]) -> np.ndarray:
+    """The smallest place reachable from each by near copies, all sets against all: overlaps are sums of products of
+    0/1 matrices over the shingles that two of them hold."""
+    k, n = len(sets), np.array([len(s) for s in sets])
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, twice = np.repeat(np.arange(k), n), times[col] > 1
+    row, col = row[twice], (np.cumsum(times > 1) - 1)[col[twice]]
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    both = np.zeros((k, k), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, STEP):
+        a, z = np.searchsorted(col, [at, at + STEP])
+        m = np.zeros((k, min(STEP, int(col[-1]) + 1 - at)), np.float32)
+        m[row[a:z], col[a:z] - at] = 1
+        both += m @ m.T
+    near = both * sum(NEAR) >= (n[:, None] + n[None, :]) * NEAR[0]
+    np.fill_diagonal(near, True)
+    out = np.arange(k)
+    while True:
+        low = np.where(near, out[None, :], k).min(1)
+        if (low == out).all():
+            return out
+        out = low
+
+
+def _group_links(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links (u, v) within groups, all members against all in blocks of a bounded size. members: (kind, g, c)."""
+    sets = _sets(docs, members, text)
+    rows = members.join(sets.select("c", "n"), "c")
+    size = rows.groupBy("kind", "g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    b, other = F.pmod(F.xxhash64("c"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    dealt = members.join(size, ["kind", "g"]).withColumn("b", b)
+    # each block meets each other one; a group of one block is compared as it is
+    dealt = dealt.withColumn("o", F.explode(F.when(F.col("blocks") == 1, other).otherwise(F.filter(other, lambda x: x != F.col("b")))))
+    dealt = written(dealt.select("kind", "g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "c"), "dealt")
+
+    def compare(t: pa.Table) -> pa.Table:
+        c = t["c"].to_numpy()
+        top = labels([x.values.to_numpy() for x in t["s"]])
+        far = top != np.arange(len(c))
+        return pa.table({"u": c[far], "v": c[top[far]]})
+
+    return sets.select("c", "s").join(small(dealt), "c").groupBy("kind", "g", "i", "j").applyInArrow(compare, "u bigint, v bigint")
 
 
 def near_classes(docs: DataFrame, text: str) -> DataFrame:
     """(c, root) of the different texts (by `__copy`): those linked by near copies, directly or through others, share
-    a root. Two sets of a Jaccard similarity of NEAR share a shingle among the first of both in any one order, so that
-    every pair is found; how many they share there bounds what they share at all. The most frequent shingles stand
-    last in the order. Each class is first linked to one head of its lists, and later pairs lie in different clusters."""
-    first = written(_sets(docs, text), "prefixes")
-    counts = first.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") > HOT_CLASSES)
-    hot = np.array([r.s for r in counts.orderBy(F.desc("count"), "s").limit(HOT_SHINGLES).select("s").collect()], np.int64)
-    if len(hot):
-        first = written(_sets(docs, text, hot), "prefixes")
-    lists = first.select(F.explode("s").alias("s"), "c", "n", "end")
-    many = lists.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("c", "n", "end")).alias("h")).filter("k > 1")
-    post = written(lists.join(many, "s").select("s", "c", "n", "end", F.col("h.c").alias("h_c"), F.col("h.n").alias("h_n"), F.col("h.end").alias("h_end")), "lists")
-    # overlap that the similarity asks for, and what the set that ends first can share beyond its first ones
-    need = lambda a, b: F.ceil((F.col(a) + F.col(b)) * NEAR[0] / sum(NEAR) - 1e-6)
-    rest = lambda a: F.ceil(F.col(a) * NEAR[0] / NEAR[1] - 1e-6) - 1
+    a root. Linked is a Jaccard similarity of NEAR or more, always verified on all shingles.
+
+    Multi-index hashing of the fingerprints gives groups of what is closest. Fingerprints of near copies may differ in
+    many more bits than it can search, so the rest is found by shingles: two sets that are similar share one among the
+    first of both in any one order. A list holds the classes with one such shingle. Each class gets a pivot, the head
+    of its lists that heads most classes; a pivot and its classes are a group too. Groups are compared in blocks, and
+    only pairs that do not share a pivot are taken from the lists."""
+    first = written(_prefixes(docs, text), "prefixes")
+    prints = first.groupBy("fp").agg(F.min("c").alias("c"))
+    with passing():
+        roots = written(link_components(prints.select("fp")), "hashed", outlive=True)
+    hashed = first.select("c", "fp").join(roots, "fp").select("c", F.col("root").alias("g"))
+    hashed = hashed.join(hashed.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1"), "g").select(F.lit(0).alias("kind"), "g", "c")
+
+    # place and number of shingles in one number: these rows are the many
+    lists = first.select("c", "n", F.posexplode("s").alias("pos", "s")).select("s", "c", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("at"))
+    many = lists.groupBy("s").agg(F.count("*").alias("k"), F.min("c").alias("h")).filter("k > 1").select("s", "h")
+    post = written(lists.join(many, "s").select("s", "c", F.shiftright("at", 32).alias("pos"), F.col("at").bitwiseAND((1 << 32) - 1).alias("n"), "h"), "lists")
     alike = lambda a, b: F.least(a, b) * NEAR[1] >= F.greatest(a, b) * NEAR[0]
-    enough = lambda k, a, b, ea, eb: k + F.when(F.col(ea) <= F.col(eb), rest(a)).otherwise(rest(b)) >= need(a, b)
 
-    stars = post.filter((F.col("c") != F.col("h_c")) & alike("n", "h_n")).groupBy("c", "n", "end", "h_c", "h_n", "h_end").agg(F.count("*").alias("k"))
-    stars = stars.filter(enough(F.col("k"), "n", "h_n", "end", "h_end")).groupBy(F.col("c").alias("u")).agg(F.max_by("h_c", F.struct("k", "h_c")).alias("v"))
-    nodes = first.select(F.col("c").alias("fp"))
-    roots = written(_components(nodes, _verified(docs, stars, text)), "clusters").select(F.col("fp").alias("c"), "root")
+    met = post.filter("c <> h").select("c", "n", "h").distinct().join(first.select(F.col("c").alias("h"), F.col("n").alias("h_n")), "h")
+    met = written(met.filter(alike("n", "h_n")).select("c", "h"), "heads")
+    # a class and the number of those it heads; then each class asks where the heads it meets have gone
+    led = met.groupBy("h").agg(F.count("*").alias("d"))
+    rank = lambda d, h: F.struct(F.col(d).alias("d"), F.bitwise_not(F.col(h)).alias("h"))  # noqa: E731  more first, then the smaller
+    best = met.join(led, "h").groupBy("c").agg(F.max(rank("d", "h")).alias("to"))
+    gone = led.select("h", rank("d", "h").alias("own")).join(best.withColumnRenamed("c", "h"), "h", "left").select("h", F.greatest("own", "to").alias("at"))
+    moved = met.join(gone, "h").filter(F.bitwise_not(F.col("at.h")) != F.col("c"))
+    pivots = written(moved.groupBy("c").agg(F.max("at").alias("at")).select("c", F.bitwise_not(F.col("at.h")).alias("g")), "pivots")
+    centres = pivots.select("g").distinct()
+    members = pivots.join(centres.select(F.col("g").alias("c")), "c", "left_anti").select("g", "c").unionByName(centres.select("g", F.col("g").alias("c")))
+    members = written(members, "members")
+    groups = written(hashed.unionByName(members.select(F.lit(1).alias("kind"), "g", "c")), "groups")
+    with passing():
+        within = written(_group_links(groups, docs, text), "links", outlive=True)
+        roots = written(_components(first.select(F.col("c").alias("fp")), within), "clusters", outlive=True).select(F.col("fp").alias("c"), "root")
 
     # only lists that still hold several clusters
-    held = written(post.select("s", "c", "n", "end").join(roots, "c"), "held")
+    held = written(post.select("s", "c", "n", "pos").join(roots, "c").join(members, "c", "left"), "held")
     mixed = held.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("s")
     held = written(held.join(mixed, "s", "left_semi"), "held")
-    side = lambda k: held.select("s", *[F.col(x).alias(f"{k}_{x}") for x in ("c", "n", "end", "root")])
-    met = side("u").join(side("v"), "s").filter((F.col("u_root") > F.col("v_root")) & alike("u_n", "v_n"))
-    met = met.groupBy("u_c", "v_c").agg(F.count("*").alias("k"), *[F.first(x).alias(x) for x in ("u_n", "v_n", "u_end", "v_end")])
-    met = met.filter(enough(F.col("k"), "u_n", "v_n", "u_end", "v_end")).select(F.col("u_c").alias("u"), F.col("v_c").alias("v"))
-    links = _verified(docs, met, text)
+    side = lambda k: held.select("s", *[F.col(x).alias(f"{k}_{x}") for x in ("c", "n", "pos", "root", "g")])
+    before = (F.col("u_n") < F.col("v_n")) | ((F.col("u_n") == F.col("v_n")) & (F.col("u_c") < F.col("v_c")))
+    # the smaller set shares one among its first n - 8/9 n + 1, and both have room for what must still be shared
+    early = F.col("u_pos") * sum(NEAR) <= F.col("u_n")
+    room = F.least("u_pos", "v_pos") + F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos"))
+    enough = room * sum(NEAR) >= (F.col("u_n") + F.col("v_n")) * NEAR[0]
+    apart = (F.col("u_root") != F.col("v_root")) & F.coalesce(F.col("u_g") != F.col("v_g"), F.lit(True))
+    pairs = side("u").join(side("v"), "s").filter(before & early & apart & alike("u_n", "v_n") & enough).select(F.col("u_c").alias("u"), F.col("v_c").alias("v")).distinct()
+    with passing():
+        links = written(_linked(pairs, docs, text), "links", outlive=True)
     between = links.join(roots.select(F.col("c").alias("u"), F.col("root").alias("ru")), "u").join(roots.select(F.col("c").alias("v"), F.col("root").alias("rv")), "v")
     tops = _components(roots.select(F.col("root").alias("fp")).distinct(), between.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
     return roots.join(tops.select(F.col("fp").alias("root"), F.col("root").alias("top")), "root").select("c", F.col("top").alias("root"))
@@ -217,10 +321,16 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     named = docs.withColumn("__copy", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
     order = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("__copy").alias("c"))
     rows = named.groupBy("__copy").agg(F.min(order).alias("o"))
-    found = written(near_classes(named, text), "near").withColumnRenamed("c", "__copy")
-    first = rows.join(found, "__copy").groupBy("root").agg(F.min("o").alias("o")).select("o.k", "o.c").distinct()
-    kept = named.join(first, named[key].eqNullSafe(F.col("k")) & (F.col("__copy") == F.col("c")), "left_semi")
-    return kept.dropDuplicates([key, "__copy"]).drop("__copy")
+    with passing():
+        found = written(near_classes(named, text), "near", outlive=True).withColumnRenamed("c", "__copy")
+    row = F.xxhash64("k", F.col("k").isNull(), "c").alias("__row")
+    first = written(rows.join(found, "__copy").groupBy("root").agg(F.min("o").alias("o")).select("o.k", "o.c").select(row), "first")
+    mark = F.xxhash64(key, F.col(key).isNull(), "__copy")
+    kept = named.withColumn("__row", mark).join(small(first), "__row", "left_semi")
+    # rows repeated whole are few: only they are dealt out with their texts
+    twice = small(written(kept.groupBy("__row").count().filter("count > 1").select("__row"), "twice"))
+    out = kept.join(twice, "__row", "left_anti").unionByName(kept.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
+    return out.drop("__copy", "__row")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
