@@ -3,7 +3,8 @@
 Base rules look at one text: words, characters in words, symbols, repeated lines, and words that lie in
 five-word windows found twice or more. The method then hashes every normalised line, counts the distinct
 documents of each host that hold it (exact copies of a text count as one document), removes lines held
-by more than a share of the host's documents, and rejects documents that such removal leaves depleted.
+by more documents than a limit, and rejects documents that such removal leaves depleted. The limit is a fixed
+number of documents, or a share of them in a small host, so it does not grow with the host.
 
 Window repeats are found inside the row: hashes of five words; where all differ, which array_distinct
 tells in linear time, nothing repeats; otherwise they are sorted with their places. Line counts are summed
@@ -27,9 +28,11 @@ SYMBOL = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A line is removed if more than this share of the host's distinct documents holds it, and at least so many.
-LINE_SHARE = 0.1
+#: A line is removed if more distinct documents of the host hold it than LINE_DOCS, or in a small host than a share
+#: of its documents; LEAST_DOCS may always hold it.
 LINE_DOCS = 20
+LINE_SHARE = 0.05
+LEAST_DOCS = 3
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.2
 SALTS = 16
@@ -66,7 +69,10 @@ def base(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "
     one = one.select(*rest, F.sort_array(F.transform(F.filter("pairs", lambda p, j: same(p, j + 1) | F.when(j > 0, same(p, j - 1)).otherwise(False)), lambda p: p["i"])).alias("places"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate("places", zero, lambda a, p: F.struct((a["n"] + (p + WINDOW - F.greatest(p, a["end"]))).alias("n"), (p + WINDOW).alias("end")), lambda a: a["n"])
-    return one.select(*rest, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    one = one.select(*rest, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    # a filter on a count would be pushed down to the text, with each name replaced by all that it stands for, time
+    # and again; it does not pass a generator
+    return one.select(F.explode_outer(F.array(F.struct(*one.columns))).alias("b")).select("b.*")
 
 
 def _rows(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
@@ -83,9 +89,10 @@ def frequent_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = _rows(docs, key, text, host)
     # outer: the filter that Spark derives for an inner explode would be pushed down and compute the lines anew
     held = rows.select("host", "digest", F.explode_outer(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
-    many = held.groupBy("host", "line").agg(F.count("line").alias("n")).filter(F.col("n") >= LINE_DOCS)
+    many = held.groupBy("host", "line").agg(F.count("line").alias("n")).filter(F.col("n") > LEAST_DOCS)
     hosts = rows.select(F.col("host").alias("h"), "digest").distinct().groupBy("h").agg(F.count("*").alias("docs"))
-    return many.join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > F.col("docs") * LINE_SHARE).select("host", "line")
+    limit = F.least(F.lit(float(LINE_DOCS)), F.greatest(F.lit(float(LEAST_DOCS)), F.col("docs") * LINE_SHARE))
+    return many.join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > limit).select("host", "line")
 
 
 def _marked(docs: DataFrame, frequent: DataFrame, key: str, text: str, host: str) -> DataFrame:
@@ -152,12 +159,12 @@ WITH d AS (
   SELECT rid, host, t, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
   FROM (SELECT rid, host, t, unnest(lines) AS x FROM w)
 ), freq AS (
-  SELECT host, line, count(DISTINCT t) AS n FROM ln GROUP BY host, line HAVING count(DISTINCT t) >= 20
+  SELECT host, line, count(DISTINCT t) AS n FROM ln GROUP BY host, line HAVING count(DISTINCT t) > 3
 ), hosts AS (
   SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host
 ), gone AS (
   SELECT rid, sum(len(string_split(line, ' '))) AS n FROM ln
-  WHERE (host, line) IN (SELECT f.host, f.line FROM freq f JOIN hosts h ON f.host = h.host WHERE f.n > h.docs * 0.1) GROUP BY rid
+  WHERE (host, line) IN (SELECT f.host, f.line FROM freq f JOIN hosts h ON f.host = h.host WHERE f.n > least(20, greatest(3, h.docs * 0.05::DOUBLE))) GROUP BY rid
 ), s AS (
   SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
