@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, shared_dir, small_batches, table
+from .common import scratch, small_batches, table, written
 
 #: The base kinds in their listed order. Each has a pattern, the group whose length
 #: counts, and its least length.
@@ -93,8 +93,9 @@ class BlobLedger:
     def findings(self) -> DataFrame:
         """(blob, findings) of the blobs that have any under the current rules."""
         known = self.entries().filter((F.col("rule_version") == self.version) & (F.size("findings") > 0))
-        # two scans at once may have scanned the same blob, or a split partition
-        return known.groupBy("blob").agg(F.first("findings").alias("findings"))
+        # two scans at once may have scanned the same blob, or a split partition; written, so that both sides of a join
+        # with it are dealt out anew and a hot blob can be split
+        return written(known.groupBy("blob").agg(F.first("findings").alias("findings")), "findings")
 
     def scan(self, versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
         """Scan unseen blobs of `versions`, add them to the ledger, and return (path, blob, findings) for each row."""
