@@ -8,7 +8,8 @@ With S = sum softplus(z) the document's score is 1 - exp(-S), so the loss and it
 S and sigmoid(z). Features that occur no more often in toxic documents than in others get no weight.
 
 Defined cases: a null or empty text has no sentences and scores 0; without labels of both kinds every
-score is 0; repeated rows are scored each; other columns are ignored.
+score is 0; copies of a text are fitted once, as toxic if one of them is labelled so; repeated rows are scored each;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, fold, small_batches, table
+from .common import bounded, fold, small_batches, table, written
 
 #: Labelled documents of each class that the model is fitted on at most, chosen by a hash of the id.
 TRAIN_DOCS_PER_CLASS = 4000
+#: And about so many characters in all, of which very long documents leave room for fewer.
+TRAIN_CHARS = 64_000_000
 FEATURE_BITS = 20
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
@@ -96,9 +99,13 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 400, rate: float =
             of_word[w] = features(w)
         return of_word[w]
 
-    kept = dict(zip(texts, labels, strict=True))  # copies count once
+    kept: dict[str, int] = {}
+    for t, label in zip(texts, labels, strict=True):
+        kept[t] = max(label, kept.get(t, 0))
     texts, labels = list(kept), list(kept.values())
     y = np.array(labels, float)
+    if y.min() == y.max():
+        return none
     bags = [[WORD.findall(m.group().lower()) for m in SENTENCE.finditer(t)] for t in texts]
     df = [Counter(), Counter()]
     for bag, c in zip(bags, labels, strict=True):
@@ -153,7 +160,10 @@ def train_on(docs: DataFrame, known: DataFrame, per_class: int = TRAIN_DOCS_PER_
     sizes = {r["toxic"]: r["n"] for r in known.filter("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = bounded(known, "doc_id", [(F.col("toxic") == c, n) for c, n in sizes.items()], per_class)
     picked = F.broadcast(some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    got = docs.select("doc_id", "text").filter("text is not null").join(picked, "doc_id").orderBy("doc_id").select("text", "toxic").toArrow()
+    some = written(docs.select("doc_id", "text").filter("text is not null").join(picked, "doc_id"), "labelled")
+    chars = some.agg(F.sum(F.length("text"))).first()[0] or 0
+    some = bounded(some, "doc_id", [(F.lit(True), chars)], TRAIN_CHARS, seed=11)
+    got = some.orderBy("doc_id", "text").select("text", "toxic").toArrow()
     return fit(got["text"].to_pylist(), got["toxic"].to_pylist())
 
 

@@ -56,10 +56,62 @@ def test_langid(spark, odd, none):
     assert langid.predict(odd, langid.train(none)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def brute_language(text, labelled):
+    """Naive Bayes by the definition, one n-gram after the other."""
+    from collections import Counter
+
+    def grams(t):
+        low = f" {t.lower()} "
+        out = Counter()
+        for k, mix in ((1, (0x9E3779B1,)), (2, (0x85EBCA77, 0xC2B2AE3D)), (3, (0x27D4EB2F, 0x165667B1, 0x9E3779B1))):
+            for i in range(len(low) - k + 1):
+                h = (sum(ord(c) * m for c, m in zip(low[i : i + k], mix)) + k) % 2**32
+                h ^= h >> 15
+                out[h * 2654435761 % 2**32 >> 16] += 1
+        return out
+
+    langs = sorted({x for _, x in labelled})
+    counts = {x: sum((grams(t) for t, y in labelled if y == x), Counter()) for x in langs}
+    total = {x: sum(c.values()) + 0.1 * langid.BUCKETS for x, c in counts.items()}
+    z = {x: np.log(sum(y == x for _, y in labelled) / len(labelled)) + sum(n * np.log((counts[x][b] + 0.1) / total[x]) for b, n in grams(text).items()) for x in langs}
+    best = max(langs, key=lambda x: (z[x], -langs.index(x)))
+    return best, 1 / sum(np.exp(z[x] - z[best]) for x in langs)
+
+
+def test_langid_equals_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    words = {"aa": "der die und ist éin ñandú", "bb": "the and was not thin", "cc": "le la est été dans 😀"}
+    text = lambda x: " ".join(r.choice(words[x].split() + ["no", "se"]) for _ in range(r.randint(1, 9)))
+    labelled = [(text(x), x) for x in words for _ in range(6)] + [(text("aa"), "aa")]
+    asked = [text(r.choice(list(words))) for _ in range(25)] + ["x", "no se " * 30]
+    frame_ = lambda rows: spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    m = langid.train(frame_(labelled))
+    for block in (langid.BLOCK_CHARS, 17):
+        monkeypatch.setattr(langid, "BLOCK_CHARS", block)
+        for t, (got, p) in zip(asked, m.predict(asked), strict=True):
+            want, q = brute_language(t, labelled)
+            assert got == want and p == pytest.approx(q, rel=1e-4)
+
+
+def test_langid_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = langid.train(docs.filter(langid.fold("doc_id", 3) != 1))
+    rows = docs.filter((langid.fold("doc_id", 3) == 1) & F.col("lang").isNotNull())
+    told = [r.lang_pred == r.lang for r in langid.predict(rows, m, keep=("doc_id", "lang")).collect() if r.lang_pred != "und"]
+    assert len(told) > 40 and sum(told) >= 0.97 * len(told)
+
+
 def test_langid_blocks_count_as_a_whole(monkeypatch):
-    whole = langid.ngram_counts(LONG)
+    def counts(texts):
+        out = np.zeros((len(texts), langid.BUCKETS), int)
+        for row, bucket, n in langid.sparse_counts(texts):
+            np.add.at(out, (row, bucket), n)
+        return out
+
+    texts = [LONG, "", "a", "ab", LONG[:999], "ß" * 5]
+    whole = counts(texts)
     monkeypatch.setattr(langid, "BLOCK_CHARS", 1000)
-    assert (langid.ngram_counts(LONG) == whole).all() and whole.sum() == 3 * (len(LONG) + 2) - 3
+    assert (counts(texts) == whole).all() and whole.sum(1).tolist() == [3 * (len(t.lower()) + 2) - 3 for t in texts]
 
 
 # 2
