@@ -160,12 +160,12 @@ def calibrate(df: DataFrame, fit_on: Column, y: str, p: str, name: str = "calibr
     return df.crossJoin(F.broadcast(line)).withColumn(name, F.col("__i") + F.col("__s") * F.col(p)).drop("__s", "__i")
 
 
-def reliability(rows: DataFrame, ids: list[str], pairs: DataFrame, value: str, order: Column, nearest: int = 14, floor: float = 0.01, least: int = 5, limit: float = 4.0) -> DataFrame:
+def reliability(rows: DataFrame, ids: list[str], pairs: DataFrame, value: str, nearest: int = 14, floor: float = 0.01, least: int = 5, limit: float = 4.0) -> DataFrame:
     """Local outlier score |x - median| / max(MAD, floor) over each row's nearest neighbours, and a flag: suspicious_low,
     suspicious_high or keep. A row with fewer neighbours than `least`, or none, is kept. pairs: (row, other, dist) of
-    self_pairs(); order: the order of a row's pairs. Neighbours meet in one array of the row."""
-    own = rows.select(F.struct(*ids).alias("id"), F.col(value).alias("x"), F.lit(None).cast(f"struct<dist:double,tie:string,o:{rows.schema[value].dataType.simpleString()}>").alias("near"))
-    met = pairs.select(F.struct(*[F.col(f"row.{c}").alias(c) for c in ids]).alias("id"), F.lit(None).cast(rows.schema[value].dataType).alias("x"), F.struct("dist", order.alias("tie"), F.col(f"other.{value}").alias("o")).alias("near"))
+    self_pairs(); of neighbours equally far the smaller value comes first. Neighbours meet in one array of the row."""
+    own = rows.select(F.struct(*ids).alias("id"), F.col(value).alias("x"), F.lit(None).cast(f"struct<dist:double,o:{rows.schema[value].dataType.simpleString()}>").alias("near"))
+    met = pairs.select(F.struct(*[F.col(f"row.{c}").alias(c) for c in ids]).alias("id"), F.lit(None).cast(rows.schema[value].dataType).alias("x"), F.struct("dist", F.col(f"other.{value}").alias("o")).alias("near"))
     g = own.unionByName(met).groupBy("id").agg(F.max("x").alias("x"), F.slice(F.array_sort(F.collect_list("near")), 1, nearest).alias("near"))
     g = g.withColumn("o", F.transform("near", lambda p: p["o"])).withColumn("med", array_median(F.col("o")))
     g = g.withColumn("mad", array_median(F.transform("o", lambda v: F.abs(v - F.col("med")))))

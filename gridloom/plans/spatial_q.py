@@ -179,15 +179,15 @@ def m21(t):
     return n.groupBy("label").agg(F.round(F.sum("w"), 8).alias("total"), F.round(1 / F.sum(F.col("w") * F.col("w")), 6).alias("effective_pixels"))
 
 
-@query("m23_reliability", S + """, nb AS (SELECT * FROM (SELECT a.sid, b.v / 10000 AS o, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist, row_number() OVER (PARTITION BY a.sid ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.sid) AS r FROM s a JOIN s b ON a.d = b.d AND a.sid <> b.sid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 144000000) WHERE r <= 14),
+@query("m23_reliability", S + """, nb AS (SELECT * FROM (SELECT a.sid, b.v / 10000 AS o, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist, row_number() OVER (PARTITION BY a.sid ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.v) AS r FROM s a JOIN s b ON a.d = b.d AND a.sid <> b.sid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 144000000) WHERE r <= 14),
 m AS (SELECT sid, median(o) AS med, COUNT(*) AS n, max(dist) AS max_d FROM nb GROUP BY sid), e AS (SELECT nb.sid, median(abs(o - med)) AS mad FROM nb JOIN m ON nb.sid = m.sid GROUP BY nb.sid), x AS (SELECT sid, max(v) / 10000 AS x FROM s GROUP BY sid),
 z AS (SELECT x.sid, x, coalesce(n, 0) AS n, max_d, med, mad, abs(x - med) / greatest(mad, 0.01) AS score FROM x LEFT JOIN m ON x.sid = m.sid LEFT JOIN e ON x.sid = e.sid)
-SELECT sid, n, round(max_d, 4) AS max_d, round(med, 8) AS med, round(mad, 8) AS mad, round(CASE WHEN med IS NOT NULL THEN score END, 4) AS score, CASE WHEN n < 5 OR med IS NULL THEN 'keep' WHEN score >= 4 AND x < med THEN 'suspicious_low' WHEN score >= 4 AND x > med THEN 'suspicious_high' ELSE 'keep' END AS flag FROM z""")
+SELECT sid, n, round(max_d, 4) AS max_d, round(med, 8) AS med, round(mad, 8) AS mad, round(CASE WHEN med IS NOT NULL THEN score END, 6) AS score, CASE WHEN n < 5 OR med IS NULL THEN 'keep' WHEN score >= 4 AND x < med THEN 'suspicious_low' WHEN score >= 4 AND x > med THEN 'suspicious_high' ELSE 'keep' END AS flag FROM z""")
 def m23(t):
     rows = t.s.select(*base.SID, "x", "y", (F.col("v") / 10000).alias("value"))
     pairs = R.self_pairs(rows, base.SID, ["value"], "x", "y", 12000.0, ["d"])
-    r = A.reliability(rows, base.SID, pairs, "value", base.sid("other."))
-    return r.select(base.sid().alias("sid"), "n", F.round("max_d", 4).alias("max_d"), F.round("med", 8).alias("med"), F.round("mad", 8).alias("mad"), F.round("score", 4).alias("score"), "flag")
+    r = A.reliability(rows, base.SID, pairs, "value")
+    return r.select(base.sid().alias("sid"), "n", F.round("max_d", 4).alias("max_d"), F.round("med", 8).alias("med"), F.round("mad", 8).alias("mad"), F.round("score", 6).alias("score"), "flag")
 
 
 @query("m24_feature_range", S + ", r AS (SELECT min(v) AS lo, quantile_cont(v, 0.01) AS q01, avg(v) AS mean, quantile_cont(v, 0.99) AS q99, max(v) AS hi FROM s WHERE yr < 1999) SELECT tile, COUNT(*) FILTER (WHERE v BETWEEN lo AND hi) AS n_in, COUNT(*) FILTER (WHERE v BETWEEN q01 AND q99) AS n_core FROM s, r GROUP BY tile")

@@ -144,12 +144,12 @@ def test_reliability_flags(spark):
     rows = [(i, int(r.integers(2)), float(r.uniform(0, 100)), float(r.uniform(0, 100)), float(r.choice([1.0, 1.1, 9.0, -7.0]))) for i in range(90)] + [(200, 0, 900.0, 900.0, 5.0)]
     df = spark.createDataFrame(rows, "id long, g long, x double, y double, v double")
     pairs = R.self_pairs(df, ["id"], ["v"], "x", "y", 25.0, ["g"])
-    got = {x.id: x for x in A.reliability(df, ["id"], pairs, "v", F.col("other.id").cast("string"), nearest=6).collect()}
+    got = {x.id: x for x in A.reliability(df, ["id"], pairs, "v", nearest=6).collect()}
     assert set(got) == {x[0] for x in rows}
     seen = set()
     for i, g, x, y, v in rows:
-        near = sorted((np.hypot(x - p, y - q), str(j), w) for j, h, p, q, w in rows if j != i and h == g and np.hypot(x - p, y - q) <= 25)[:6]
-        o = [w for *_, w in near]
+        near = sorted((np.hypot(x - p, y - q), w) for j, h, p, q, w in rows if j != i and h == g and np.hypot(x - p, y - q) <= 25)[:6]
+        o = [w for _, w in near]
         assert got[i].n == len(o)
         if not o:
             assert got[i].med is None and got[i].flag == "keep"
