@@ -164,15 +164,16 @@ def reliability(rows: DataFrame, ids: list[str], pairs: DataFrame, value: str, n
     """Local outlier score |x - median| / max(MAD, floor) over each row's nearest neighbours, and a flag: suspicious_low,
     suspicious_high or keep. A row with fewer neighbours than `least`, or none, is kept. pairs: (row, other, dist) of
     self_pairs(); of neighbours equally far the smaller value comes first. Neighbours meet in one array of the row."""
-    own = rows.select(F.struct(*ids).alias("id"), F.col(value).alias("x"), F.lit(None).cast(f"struct<dist:double,o:{rows.schema[value].dataType.simpleString()}>").alias("near"))
-    met = pairs.select(F.struct(*[F.col(f"row.{c}").alias(c) for c in ids]).alias("id"), F.lit(None).cast(rows.schema[value].dataType).alias("x"), F.struct("dist", F.col(f"other.{value}").alias("o")).alias("near"))
-    g = own.unionByName(met).groupBy("id").agg(F.max("x").alias("x"), F.slice(F.array_sort(F.collect_list("near")), 1, nearest).alias("near"))
+    own = rows.select(*ids, F.col(value).alias("x"), F.lit(None).cast(f"struct<dist:double,o:{rows.schema[value].dataType.simpleString()}>").alias("near"))
+    met = pairs.select(*[F.col(f"row.{c}").alias(c) for c in ids], F.lit(None).cast(rows.schema[value].dataType).alias("x"), F.struct("dist", F.col(f"other.{value}").alias("o")).alias("near"))
+    # keys as columns of their own: a struct has no sort prefix
+    g = own.unionByName(met).groupBy(*ids).agg(F.max("x").alias("x"), F.slice(F.array_sort(F.collect_list("near")), 1, nearest).alias("near"))
     g = g.withColumn("o", F.transform("near", lambda p: p["o"])).withColumn("med", array_median(F.col("o")))
     g = g.withColumn("mad", array_median(F.transform("o", lambda v: F.abs(v - F.col("med")))))
     g = g.withColumn("score", F.abs(F.col("x") - F.col("med")) / F.greatest(F.col("mad"), F.lit(floor)))
     n = F.size("near").cast("bigint")
     flag = F.when((n < least) | F.col("score").isNull(), "keep").when((F.col("score") >= limit) & (F.col("x") < F.col("med")), "suspicious_low").when((F.col("score") >= limit) & (F.col("x") > F.col("med")), "suspicious_high").otherwise("keep")
-    return g.select("id.*", n.alias("n"), F.array_max(F.transform("near", lambda p: p["dist"])).alias("max_d"), "med", "mad", "score", flag.alias("flag"))
+    return g.select(*ids, n.alias("n"), F.array_max(F.transform("near", lambda p: p["dist"])).alias("max_d"), "med", "mad", "score", flag.alias("flag"))
 
 
 def permuted_column(df: DataFrame, key: str, groups: list[str], col: str, seed: int = 42) -> DataFrame:

@@ -87,12 +87,15 @@ def first_by(df: DataFrame, keys: list[str], *order: Column, n: int = 1, rank: s
 
 def asof_backward(left: DataFrame, right: DataFrame, at: str, key: str, step: int) -> DataFrame:
     """Left rows with the greatest right `key` that is not above `at` (null if none). Both sides are dealt by steps
-    of the value and sorted within; what the steps before hold is carried over by one row a step, so no task sees
-    more than a step. Both columns are whole numbers."""
+    of the value and sorted within; what the steps before hold is carried over by one row a step and one a thousand
+    steps, so no task sees more than a step of rows. Both columns are whole numbers."""
     marks = right.select(F.col(key).alias("__at"), F.col(key).alias("__key")).distinct()
     rows = left.withColumn("__at", F.col(at)).withColumn("__is", F.lit(True)).unionByName(marks, allowMissingColumns=True).withColumn("__step", F.floor(F.col("__at") / step))
-    last = rows.groupBy("__step").agg(F.max("__key").alias("__m"))
-    carry = last.withColumn("__before", F.max("__m").over(Window.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1))).select("__step", "__before")
+    last = rows.groupBy("__step").agg(F.max("__key").alias("__m")).withColumn("__block", F.floor(F.col("__step") / 1000))
+    earlier = lambda of, w: F.max(of).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # a thousand steps are one block, so the one window without a partition has a row for a million whole numbers
+    blocks = last.groupBy("__block").agg(F.max("__m").alias("__m")).select("__block", earlier("__m", Window.orderBy("__block")).alias("__far"))
+    carry = last.withColumn("__near", earlier("__m", Window.partitionBy("__block").orderBy("__step"))).join(blocks, "__block").select("__step", F.coalesce("__near", "__far").alias("__before"))
     w = Window.partitionBy("__step").orderBy("__at", F.col("__key").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumn("__seen", F.max("__key").over(w)).join(carry, "__step")
     return out.filter("__is").select(*left.columns, F.coalesce("__seen", "__before").alias(key))
@@ -118,6 +121,36 @@ def mean_exact(x: Column, digits: int = 2) -> Column:
     return F.sum(x.cast(f"decimal(18,{digits})")).cast("double") / F.count(x)
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...], name: str = "p") -> DataFrame:
+    """(keys, name): the quantiles ps of a group's values, interpolated between the ranks at either side, as an array.
+    No task holds a group: values are counted, the counts summed in 1,024 buckets an octave, and only buckets with a
+    wanted rank are sorted. Nulls are left out (a group of nulls only has no row), NaN is above all, both zeros
+    are one value; null keys are a group. Values that differ by less than a thousandth of themselves share a bucket, as one row a different value."""
+    by = [*keys, "__all"]
+    v = F.col("__v")
+    size = F.floor(F.log2(F.abs(v)) * 1024) + 1_200_000
+    bucket = F.when(F.isnan(v), F.lit(1 << 23)).when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.signum(v) * (1 << 22)).otherwise(F.signum(v) * size)
+    rows = df.select(*keys, F.lit(0).alias("__all"), F.col(value).cast("double").alias("__v")).filter(v.isNotNull())
+    counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__n")).withColumn("__b", bucket.cast("bigint")).filter("__b is not null")  # as the join infers, so both uses share one shuffle
+    w = Window.partitionBy(*by)
+    sizes = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__n"))
+    sizes = sizes.withColumn("__upto", F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__total", F.sum("__n").over(w))
+    ranks = [(F.floor if k == 0 else F.ceil)((F.col("__total") - 1) * p) for p in ps for k in (0, 1)]
+    held = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), r.alias("r")) for i, r in enumerate(ranks)]), lambda x: (x["r"] < F.col("__upto")) & (x["r"] >= F.col("__upto") - F.col("__n")))
+    wanted = sizes.select(*[F.col(k).alias(f"__k_{k}") for k in by], F.col("__b").alias("__wb"), (F.col("__upto") - F.col("__n")).alias("__before"), "__total", held.alias("__held")).filter(F.size("__held") > 0)
+    met = counts.join(wanted, [F.col("__b") == F.col("__wb"), *[F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by]])
+    met = met.withColumn("__to", F.col("__before") + F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    hits = met.select(*by, "__v", "__total", F.explode(F.filter("__held", lambda x: (x["r"] < F.col("__to")) & (x["r"] >= F.col("__to") - F.col("__n")))).alias("__h"))
+    at = lambda i: F.max(F.when(F.col("__h.i") == i, v))
+    got = hits.groupBy(*by).agg(F.max("__total").alias("__total"), *[at(i).alias(f"__q{i}") for i in range(2 * len(ps))])
+
+    def between(k: int, p: float) -> Column:
+        lo, hi, pos = F.col(f"__q{2 * k}"), F.col(f"__q{2 * k + 1}"), (F.col("__total") - 1) * p
+        return F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
+
+    return got.select(*keys, F.array(*[between(k, p) for k, p in enumerate(ps)]).alias(name))
+
+
 def weighted_mean(x: Column, w: Column) -> Column:
     """Sum of x * w over sum of w where both are finite and w > 0; null if there is none."""
     from ..functions.scalars import finite

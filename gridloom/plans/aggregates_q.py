@@ -55,9 +55,9 @@ def a09(t):
 
 @query("a10_a11_mad_fences", S + ", m AS (SELECT tile, median(v) AS med, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM s GROUP BY tile) SELECT m.tile, round(med, 6) AS med, round(median(abs(v - med)), 6) AS mad, round(1.4826 * median(abs(v - med)), 6) AS mad_sd, round(any_value(q1) - 1.5 * (any_value(q3) - any_value(q1)), 6) AS low_fence, round(any_value(q3) + 1.5 * (any_value(q3) - any_value(q1)), 6) AS high_fence FROM s JOIN m ON s.tile = m.tile GROUP BY m.tile, med")
 def a10(t):
-    m = t.s.groupBy("tile").agg(F.percentile("v", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias("p"))
-    j = t.s.join(m, "tile").withColumn("dev", F.abs(F.col("v") - F.col("p")[1]))
-    g = j.groupBy("tile").agg(F.percentile("dev", 0.5).alias("mad0"), F.any_value("p").alias("p"))
+    m = R.exact_quantiles(t.s, ["tile"], "v", (0.25, 0.5, 0.75))
+    dev = t.s.join(m, "tile").select("tile", F.abs(F.col("v") - F.col("p")[1]).alias("dev"))
+    g = m.join(R.exact_quantiles(dev, ["tile"], "dev", (0.5,), "mad").select("tile", F.col("mad")[0].alias("mad0")), "tile")
     q1, med, q3 = (F.col("p")[i] for i in range(3))
     r = lambda c, n: F.round(c, 6).alias(n)
     return g.select("tile", r(med, "med"), r(F.col("mad0"), "mad"), r(1.4826 * F.col("mad0"), "mad_sd"), r(q1 - 1.5 * (q3 - q1), "low_fence"), r(q3 + 1.5 * (q3 - q1), "high_fence"))
@@ -66,13 +66,15 @@ def a10(t):
 @query("a12_quantile_profile", S + "SELECT flag, " + ", ".join(f"round(quantile_cont(v, {p}), 6) AS p{int(p * 1000):03d}" for p in (0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999)) + " FROM s GROUP BY flag")
 def a12(t):
     ps = (0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999)
-    g = t.s.groupBy("flag").agg(F.percentile("v", F.array(*[F.lit(p) for p in ps])).alias("p"))
+    g = R.exact_quantiles(t.s, ["flag"], "v", ps)
     return g.select("flag", *[F.round(F.col("p")[i], 6).alias(f"p{int(p * 1000):03d}") for i, p in enumerate(ps)])
 
 
 @query("a13_binned_summary", S + "SELECT floor(q / 10) * 10 AS q_bin, COUNT(*) AS n, COUNT(*) / CAST((SELECT COUNT(*) FROM s) AS DOUBLE) AS share, avg(CAST(disc < 0.03 AS DOUBLE)) AS low_share, round(quantile_cont(v, 0.5), 6) AS p50 FROM s GROUP BY 1")
 def a13(t):
-    g = t.s.groupBy(X.bin_floor("q", 10.0).alias("q_bin")).agg(F.count("*").alias("n"), F.avg((F.col("disc") < 0.03).cast("double")).alias("low_share"), F.round(F.percentile("v", 0.5), 6).alias("p50"))
+    b = t.s.withColumn("q_bin", X.bin_floor("q", 10.0))
+    g = b.groupBy("q_bin").agg(F.count("*").alias("n"), F.avg((F.col("disc") < 0.03).cast("double")).alias("low_share"))
+    g = g.join(R.exact_quantiles(b, ["q_bin"], "v", (0.5,)).select("q_bin", F.round(F.col("p")[0], 6).alias("p50")), "q_bin", "left")
     return g.crossJoin(F.broadcast(g.agg(F.sum("n").cast("double").alias("total")))).select("q_bin", "n", (F.col("n") / F.col("total")).alias("share"), "low_share", "p50")
 
 
@@ -109,8 +111,9 @@ def a19(t):
 
 @query("a21_describe", S + f"SELECT COUNT(v) AS n, {mean_sql('v')} AS mean, round(stddev_samp(v), 6) AS sd, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, max(v) AS max FROM s")
 def a21(t):
-    p = lambda x, n: F.round(F.percentile("v", x), 6).alias(n)
-    return t.s.agg(F.count("v").alias("n"), R.mean_exact(F.col("v")).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("sd"), F.min("v").alias("min"), p(0.25, "p25"), p(0.5, "p50"), p(0.75, "p75"), F.max("v").alias("max"))
+    plain = t.s.agg(F.count("v").alias("n"), R.mean_exact(F.col("v")).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = R.exact_quantiles(t.s, [], "v", (0.25, 0.5, 0.75)).select(*[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    return plain.join(F.broadcast(q), F.lit(True), "left")  # one row a side
 
 
 @query("a23_a49_category_counts", S + "SELECT tile, " + ", ".join(f"COUNT(*) FILTER (WHERE ln = {k}) AS count_{k}" for k in range(1, 8)) + ", COUNT(*) AS total FROM s GROUP BY tile")
@@ -211,7 +214,7 @@ def a48(t):
 
 @query("w01_w10_global_rank", S + "SELECT sid, row_number() OVER (ORDER BY d, sid) AS rank FROM s")
 def w01(t):
-    return R.global_rank(t.s.select("sid", "d", "yr", "mo"), F.col("yr") * 12 + F.col("mo"), F.col("d"), F.col("sid")).select("sid", "rank")
+    return R.global_rank(t.s.select("sid", "d"), F.struct("d", F.substring("sid", 1, 1)), F.col("d"), F.col("sid")).select("sid", "rank")
 
 
 @query("w02_w03_w13_in_group", S + "SELECT sid, row_number() OVER (PARTITION BY ok ORDER BY sid) AS idx, COUNT(*) OVER (PARTITION BY ok) AS size, 1 / CAST(COUNT(*) OVER (PARTITION BY ok) AS DOUBLE) AS weight FROM s")

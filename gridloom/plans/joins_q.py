@@ -131,7 +131,8 @@ SELECT sid, other, round(dist, 4) AS dist, rank FROM (SELECT *, row_number() OVE
 def j18(t):
     pairs = R.self_pairs(t.s.select(*base.SID, "x", "y"), base.SID, [], "x", "y", 6000.0, ["d"])
     near = F.slice(F.array_sort(F.collect_list(F.struct("dist", base.sid("other.").alias("other")))), 1, 14)
-    g = pairs.groupBy("row").agg(near.alias("near")).select("row.*", F.posexplode("near").alias("pos", "o"))
+    keys = [F.col(f"row.{c}").alias(c) for c in base.SID]
+    g = pairs.select(*keys, "other", "dist").groupBy(*base.SID).agg(near.alias("near")).select(*base.SID, F.posexplode("near").alias("pos", "o"))
     return g.select(base.sid().alias("sid"), "o.other", F.round("o.dist", 4).alias("dist"), (F.col("pos") + 1).cast("bigint").alias("rank"))
 
 

@@ -203,7 +203,7 @@ def f32(t):
 @query("f34_stretch_pack", S + """, p AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM s), r AS (SELECT sid, CAST(floor(CASE WHEN hi > lo THEN greatest(0.0, least(1.0, (v - lo) / (hi - lo))) * 255 ELSE 0 END) AS BIGINT) AS red, CAST(q AS BIGINT) AS green, ln AS blue FROM s, p)
 SELECT sid, red, red * 65536 + green * 256 + blue AS packed, (red * 65536 + green * 256 + blue) // 256 % 256 AS green_back FROM r""")
 def f34(t):
-    p = t.s.agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    p = R.exact_quantiles(t.s, [], "v", (0.02, 0.98)).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     r = t.s.crossJoin(F.broadcast(p)).select("sid", F.floor(X.stretch("v", "lo", "hi")).alias("red"), F.col("q").cast("bigint").alias("green"), F.col("ln").alias("blue"))
     packed = X.pack_rgb("red", "green", "blue")
     return r.select("sid", "red", packed.alias("packed"), F.pmod(F.shiftright(packed, 8), F.lit(256)).alias("green_back"))

@@ -75,6 +75,28 @@ def test_asof_and_rank(spark):
     assert all(r["rank"] == r.x + 1 for r in ranked.collect())
 
 
+def test_asof_carries_over_blocks_of_steps(spark):
+    left = spark.createDataFrame([(-1,), (7,), (2_500_000,), (9_000_123,)], "at long")
+    right = spark.createDataFrame([(6,), (3,), (1_200_000,)], "key long")
+    got = {r.at: r.key for r in R.asof_backward(left, right, "at", "key", 100).collect()}
+    assert got == {-1: None, 7: 6, 2_500_000: 1_200_000, 9_000_123: 1_200_000}
+
+
+def test_exact_quantiles(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "a": [3.0, -1.5, 0.0, -0.0, 1e-300, -1e300, 2.0, 2.0, 2.0, 7.25, None], "one": [4.0], None: [5.0, 1.0, None], "none": [None, None],
+        "close": [1e6 + i / 7 for i in range(50)], "ends": [-inf, inf, nan, 0.0, 1.0, -1.0, -2.0], "same": [0.1] * 9,
+    }
+    df = spark.createDataFrame([(k, x, 1) for k, xs in groups.items() for x in xs], "k string, x double, p int").repartition(5)
+    ps = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = {r.k: r.q for r in R.exact_quantiles(df, ["k"], "x", ps, "q").collect()}
+    want = {r.k: r.q for r in df.filter("x is not null").groupBy("k").agg(F.percentile("x", F.array(*[F.lit(p) for p in ps])).alias("q")).collect()}
+    plain = lambda d: sorted((str(k), [str(x + 0.0) for x in xs]) for k, xs in d.items())  # noqa: E731  (one zero)
+    assert set(got) == {"a", "one", None, "close", "ends", "same"} and plain(got) == plain(want)
+    assert R.exact_quantiles(df, [], "x", (0.5,)).count() == 1 and R.exact_quantiles(df.limit(0), ["k"], "x", ps).count() == 0
+
+
 def test_metrics_of_constant_and_single_groups(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 1.0), ("b", 1.0, 3.0)], "g string, y double, p double")
     r = {x.g: x for x in df.groupBy("g").agg(*R.regression_metrics("y", "p")).collect()}
