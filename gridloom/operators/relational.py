@@ -62,6 +62,34 @@ def self_pairs(df: DataFrame, ids: list[str], carry: list[str], x: str, y: str,
     return met.select(dist.alias("dist"), both.alias("p")).select("p.row", "p.other", "dist")
 
 
+def k_nearest(targets: DataFrame, points: DataFrame, tid: str, pid: str, at: tuple[str, str], where: tuple[str, str], k: int, width: float) -> DataFrame:
+    """(tid, pid, dist, rank): the k nearest points of each target, of equal distance the smaller pid; fewer where there
+    are not k. Targets look within `width` by an equi join on cells; those that find fewer than k look again twice as
+    far, so only a sparse place widens, and no target meets all points unless there are under k within the extent.
+    Rows without a place are left out. A pass reads the points once; there are log2(extent / width) passes at most."""
+    from ..session import materialised
+
+    targets = targets.select(F.col(tid).alias("__t"), F.col(at[0]).alias("__x"), F.col(at[1]).alias("__y")).dropna()
+    points = points.select(F.col(pid).alias("__p"), F.col(where[0]).alias("__px"), F.col(where[1]).alias("__py")).dropna()
+    ends = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    a, b = ends(targets, "__x", "__y"), ends(points, "__px", "__py")
+    extent = 0.0 if a[0] is None or b[0] is None else max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])) * 1.5
+    found, left = [], targets
+    while True:
+        near = first_by(binned_pairs(left, points, "__x", "__y", "__px", "__py", width), ["__t"], F.col("dist"), F.col("__p"), n=k, rank="rank").select("__t", "__p", "dist", "rank")
+        if width >= extent:
+            found.append(near)
+            break
+        near = materialised(near, "nearest")
+        done = near.filter(F.col("rank") == k).select("__t")
+        found.append(near.join(done, "__t", "left_semi"))
+        left = materialised(left.join(done, "__t", "left_anti"), "unsettled")
+        if left.isEmpty():
+            break
+        width *= 2
+    return reduce(DataFrame.unionAll, found).select(F.col("__t").alias(tid), F.col("__p").alias(pid), "dist", "rank")
+
+
 def array_median(values: Column) -> Column:
     """Median of an array of numbers, null if it is empty."""
     a = F.array_sort(values)

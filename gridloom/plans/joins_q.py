@@ -138,10 +138,8 @@ def j18(t):
 
 @query("j19_k_nearest", S + f", b AS ({_BOXES}), n AS (SELECT box_id, s_suppkey, sqrt((x0 - sx) * (x0 - sx) + (y0 - sy) * (y0 - sy)) AS dist FROM b, (SELECT s_suppkey, CAST((s_suppkey * 7907) % 100000 AS DOUBLE) AS sx, CAST((s_suppkey * 6101) % 100000 AS DOUBLE) AS sy FROM supplier)) SELECT box_id, s_suppkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY dist, s_suppkey) AS rank FROM n) WHERE rank <= 5")
 def j19(t):
-    # sixty fixed targets: broadcast, so the larger side is never shuffled before the top five of each task
     p = t("supplier").select("s_suppkey", ((F.col("s_suppkey") * 7907) % 100000).cast("double").alias("sx"), ((F.col("s_suppkey") * 6101) % 100000).cast("double").alias("sy"))
-    n = p.crossJoin(F.broadcast(_boxes(t))).withColumn("dist", F.hypot(F.col("x0") - F.col("sx"), F.col("y0") - F.col("sy")))
-    return R.first_by(n, ["box_id"], F.col("dist"), F.col("s_suppkey"), n=5, rank="rank").select("box_id", "s_suppkey", "rank")
+    return R.k_nearest(_boxes(t), p, "box_id", "s_suppkey", ("x0", "y0"), ("sx", "sy"), 5, 10000.0).select("box_id", "s_suppkey", "rank")
 
 
 @query("j21_asof_backward", "SELECT event_id, o_orderkey AS asof_key FROM events ASOF LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') ON event_id >= o_orderkey")

@@ -82,6 +82,21 @@ def test_asof_carries_over_blocks_of_steps(spark):
     assert got == {-1: None, 7: 6, 2_500_000: 1_200_000, 9_000_123: 1_200_000}
 
 
+def test_k_nearest_equals_brute_force(spark):
+    points = [(i, float(i * 37 % 101), float(i * 53 % 97)) for i in range(60)] + [(100, 5.0, 5.0), (101, 5.0, 5.0), (102, 900.0, 900.0), (103, None, 1.0)]
+    targets = [(1, 5.0, 5.0), (2, 50.0, 50.0), (3, 1000.0, -1000.0), (4, None, 0.0)]
+    p, t = spark.createDataFrame(points, "p long, px double, py double"), spark.createDataFrame(targets, "t long, x double, y double")
+    for k in (1, 4, 70):
+        got = sorted((r.t, r["rank"], r.p) for r in R.k_nearest(t, p, "t", "p", ("x", "y"), ("px", "py"), k, 3.0).collect())
+        want = []
+        for i, x, y in targets[:3]:
+            order = sorted((math.hypot(x - px, y - py), j) for j, px, py in points if px is not None)
+            want += [(i, n + 1, j) for n, (_, j) in enumerate(order[:k])]
+        assert got == sorted(want)
+    assert R.k_nearest(t.limit(0), p, "t", "p", ("x", "y"), ("px", "py"), 2, 3.0).count() == 0
+    assert R.k_nearest(t, p.limit(0), "t", "p", ("x", "y"), ("px", "py"), 2, 3.0).count() == 0
+
+
 def test_exact_quantiles(spark):
     inf, nan = float("inf"), float("nan")
     groups = {
