@@ -177,7 +177,9 @@ def a34(t):
 @query("a35_a36_a37_support", PRED + "SELECT mo, COUNT(*) AS n, COUNT(DISTINCT d) AS n_dates, COUNT(DISTINCT tile) AS n_tiles, COUNT(*) FILTER (WHERE yr < 2000) AS n_train, round(quantile_cont(pred - obs, 0.25), 8) AS q25, round(quantile_cont(pred - obs, 0.75), 8) AS q75 FROM p GROUP BY mo")
 def a35(t):
     p = predictions(t).withColumn("e", F.col("pred") - F.col("obs"))
-    return p.groupBy("mo").agg(F.count("*").alias("n"), F.countDistinct("d").alias("n_dates"), F.countDistinct("tile").alias("n_tiles"), F.count_if(F.col("yr") < 2000).alias("n_train"), F.round(F.percentile("e", 0.25), 8).alias("q25"), F.round(F.percentile("e", 0.75), 8).alias("q75"))
+    g = p.groupBy("mo").agg(F.count("*").alias("n"), F.countDistinct("d").alias("n_dates"), F.countDistinct("tile").alias("n_tiles"), F.count_if(F.col("yr") < 2000).alias("n_train"))
+    quartiles = R.exact_quantiles(p, ["mo"], "e", (0.25, 0.75)).select("mo", *[F.round(F.col("p")[k], 8).alias(n) for k, n in enumerate(("q25", "q75"))])
+    return g.join(quartiles, "mo", "left")
 
 
 @query("a38_stability_reduction", S + f", g AS (SELECT tile, d, {mean_sql('v')} AS m FROM s GROUP BY tile, d) SELECT round(100 * (1 - (SELECT stddev_samp(m) FROM g) / (SELECT stddev_samp(v) FROM s)), 6) AS sd_reduction")
