@@ -27,6 +27,12 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
     return left.join(right, on, how)
 
 
+def left_join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join by keys in which null equals null, as groups do."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    return left.join(other, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], "left").drop(*[f"__r_{k}" for k in keys])
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, low: str, high: str) -> DataFrame:
     """Left join by keys, with date_align: no_product, inrange (low <= at <= high) or outrange."""
     out = left.join(right, keys, "left")

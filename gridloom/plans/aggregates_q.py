@@ -74,7 +74,7 @@ def a12(t):
 def a13(t):
     b = t.s.withColumn("q_bin", X.bin_floor("q", 10.0))
     g = b.groupBy("q_bin").agg(F.count("*").alias("n"), F.avg((F.col("disc") < 0.03).cast("double")).alias("low_share"))
-    g = g.join(R.exact_quantiles(b, ["q_bin"], "v", (0.5,)).select("q_bin", F.round(F.col("p")[0], 6).alias("p50")), "q_bin", "left")
+    g = R.left_join_null_safe(g, R.exact_quantiles(b, ["q_bin"], "v", (0.5,)).select("q_bin", F.round(F.col("p")[0], 6).alias("p50")), ["q_bin"])
     return g.crossJoin(F.broadcast(g.agg(F.sum("n").cast("double").alias("total")))).select("q_bin", "n", (F.col("n") / F.col("total")).alias("share"), "low_share", "p50")
 
 
@@ -179,7 +179,7 @@ def a35(t):
     p = predictions(t).withColumn("e", F.col("pred") - F.col("obs"))
     g = p.groupBy("mo").agg(F.count("*").alias("n"), F.countDistinct("d").alias("n_dates"), F.countDistinct("tile").alias("n_tiles"), F.count_if(F.col("yr") < 2000).alias("n_train"))
     quartiles = R.exact_quantiles(p, ["mo"], "e", (0.25, 0.75)).select("mo", *[F.round(F.col("p")[k], 8).alias(n) for k, n in enumerate(("q25", "q75"))])
-    return g.join(quartiles, "mo", "left")
+    return R.left_join_null_safe(g, quartiles, ["mo"])
 
 
 @query("a38_stability_reduction", S + f", g AS (SELECT tile, d, {mean_sql('v')} AS m FROM s GROUP BY tile, d) SELECT round(100 * (1 - (SELECT stddev_samp(m) FROM g) / (SELECT stddev_samp(v) FROM s)), 6) AS sd_reduction")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import finite
-from ..operators.relational import exact_quantiles
+from ..operators.relational import exact_quantiles, left_join_null_safe
 from ..session import shared_dir
 from ..sources import io
 from . import base
@@ -29,7 +29,7 @@ def a30(t):
     px = pixels(t)
     plain = px.groupBy("label").agg(F.mode("code", True).alias("modal"), F.min("val").alias("low"), F.max("val").alias("high"), F.round(100 * F.avg("val"), 6).alias("mean_100"), F.avg((F.col("code") == 1).cast("double")).alias("flagged_share"))
     q = exact_quantiles(px, ["label"], "val", (0.1, 0.5)).select("label", *[F.round(F.col("p")[k], 8).alias(n) for k, n in enumerate(("q10", "mid"))])
-    return plain.join(q, "label", "left")
+    return left_join_null_safe(plain, q, ["label"])
 
 
 @query("u01_u04_custom_aggregates", S + "SELECT tile, mo, round(avg(v) FILTER (WHERE q > 40), 6) AS mean_or_na, coalesce(CAST(SUM(CAST(q AS DECIMAL(18,2))) FILTER (WHERE q > 40) AS DOUBLE), 0) AS sum_or_zero, CAST(max(CASE WHEN flag = 'A' THEN ln * 10 ELSE ln END) AS BIGINT) AS best_row_score FROM s GROUP BY tile, mo")

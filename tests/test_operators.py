@@ -82,6 +82,12 @@ def test_asof_carries_over_blocks_of_steps(spark):
     assert got == {-1: None, 7: 6, 2_500_000: 1_200_000, 9_000_123: 1_200_000}
 
 
+def test_left_join_null_safe(spark):
+    a, b = spark.createDataFrame([(1, 1), (None, 2), (3, 3)], "k int, x int"), spark.createDataFrame([(1, 10), (None, 20)], "k int, y int")
+    assert sorted((r.x, r.y) for r in R.left_join_null_safe(a, b, ["k"]).collect() if r.y) == [(1, 10), (2, 20)]
+    assert R.left_join_null_safe(a, b, ["k"]).columns == ["k", "x", "y"]
+
+
 def test_k_nearest_equals_brute_force(spark):
     points = [(i, float(i * 37 % 101), float(i * 53 % 97)) for i in range(60)] + [(100, 5.0, 5.0), (101, 5.0, 5.0), (102, 900.0, 900.0), (103, None, 1.0)]
     targets = [(1, 5.0, 5.0), (2, 50.0, 50.0), (3, 1000.0, -1000.0), (4, None, 0.0)]
