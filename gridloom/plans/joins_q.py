@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import near as N
 from ..operators import relational as R
 from . import base
 from .base import S, query
@@ -129,11 +130,9 @@ def j16(t):
 @query("j18_w05_neighbours_same_date", S + """, n AS (SELECT a.sid, b.sid AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM s a JOIN s b ON a.d = b.d AND a.sid <> b.sid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36000000)
 SELECT sid, other, round(dist, 4) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY dist, other) AS rank FROM n) WHERE rank <= 14""")
 def j18(t):
-    pairs = R.self_pairs(t.s.select(*base.SID, "x", "y"), base.SID, [], "x", "y", 6000.0, ["d"])
-    near = F.slice(F.array_sort(F.collect_list(F.struct("dist", base.sid("other.").alias("other")))), 1, 14)
-    keys = [F.col(f"row.{c}").alias(c) for c in base.SID]
-    g = pairs.select(*keys, "other", "dist").groupBy(*base.SID).agg(near.alias("near")).select(*base.SID, F.posexplode("near").alias("pos", "o"))
-    return g.select(base.sid().alias("sid"), "o.other", F.round("o.dist", 4).alias("dist"), (F.col("pos") + 1).cast("bigint").alias("rank"))
+    near = N.nearest_within(t.s.select(*base.SID, "x", "y"), "sid", ["d"], "x", "y", 6000.0, 14, late={"sid": base.sid()})
+    g = near.select("sid", F.posexplode("near").alias("pos", "o"))
+    return g.select("sid", "o.other", F.round("o.dist", 4).alias("dist"), (F.col("pos") + 1).cast("bigint").alias("rank"))
 
 
 @query("j19_k_nearest", S + f", b AS ({_BOXES}), n AS (SELECT box_id, s_suppkey, sqrt((x0 - sx) * (x0 - sx) + (y0 - sy) * (y0 - sy)) AS dist FROM b, (SELECT s_suppkey, CAST((s_suppkey * 7907) % 100000 AS DOUBLE) AS sx, CAST((s_suppkey * 6101) % 100000 AS DOUBLE) AS sy FROM supplier)) SELECT box_id, s_suppkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY dist, s_suppkey) AS rank FROM n) WHERE rank <= 5")
