@@ -170,10 +170,15 @@ def reliability(rows: DataFrame, ids: list[str], pairs: DataFrame, value: str, n
     g = own.unionByName(met).groupBy(*ids).agg(F.max("x").alias("x"), F.slice(F.array_sort(F.collect_list("near")), 1, nearest).alias("near"))
     g = g.withColumn("o", F.transform("near", lambda p: p["o"])).withColumn("med", array_median(F.col("o")))
     g = g.withColumn("mad", array_median(F.transform("o", lambda v: F.abs(v - F.col("med")))))
-    g = g.withColumn("score", F.abs(F.col("x") - F.col("med")) / F.greatest(F.col("mad"), F.lit(floor)))
-    n = F.size("near").cast("bigint")
-    flag = F.when((n < least) | F.col("score").isNull(), "keep").when((F.col("score") >= limit) & (F.col("x") < F.col("med")), "suspicious_low").when((F.col("score") >= limit) & (F.col("x") > F.col("med")), "suspicious_high").otherwise("keep")
-    return g.select(*ids, n.alias("n"), F.array_max(F.transform("near", lambda p: p["dist"])).alias("max_d"), "med", "mad", "score", flag.alias("flag"))
+    g = g.select(*ids, "x", F.size("near").cast("bigint").alias("n"), F.array_max(F.transform("near", lambda p: p["dist"])).alias("max_d"), "med", "mad")
+    return reliability_flags(g, floor, least, limit).drop("x")
+
+
+def reliability_flags(rows: DataFrame, floor: float = 0.01, least: int = 5, limit: float = 4.0) -> DataFrame:
+    """Score and flag of rows with their value x and, of their neighbours, the number n, the median med and its deviation mad."""
+    g = rows.withColumn("score", F.abs(F.col("x") - F.col("med")) / F.greatest(F.col("mad"), F.lit(floor)))
+    flag = F.when((F.col("n") < least) | F.col("score").isNull(), "keep").when((F.col("score") >= limit) & (F.col("x") < F.col("med")), "suspicious_low").when((F.col("score") >= limit) & (F.col("x") > F.col("med")), "suspicious_high").otherwise("keep")
+    return g.withColumn("flag", flag)
 
 
 def permuted_column(df: DataFrame, key: str, groups: list[str], col: str, seed: int = 42) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import algorithms as A
+from ..operators import near as N
 from ..operators import relational as R
 from . import base
 from .aggregates_q import PRED, predictions
@@ -185,9 +186,9 @@ z AS (SELECT x.sid, x, coalesce(n, 0) AS n, max_d, med, mad, abs(x - med) / grea
 SELECT sid, n, round(max_d, 4) AS max_d, round(med, 8) AS med, round(mad, 8) AS mad, round(CASE WHEN med IS NOT NULL THEN score END, 6) AS score, CASE WHEN n < 5 OR med IS NULL THEN 'keep' WHEN score >= 4 AND x < med THEN 'suspicious_low' WHEN score >= 4 AND x > med THEN 'suspicious_high' ELSE 'keep' END AS flag FROM z""")
 def m23(t):
     rows = t.s.select(*base.SID, "x", "y", (F.col("v") / 10000).alias("value"))
-    pairs = R.self_pairs(rows, base.SID, ["value"], "x", "y", 12000.0, ["d"])
-    r = A.reliability(rows, base.SID, pairs, "value")
-    return r.select(base.sid().alias("sid"), "n", F.round("max_d", 4).alias("max_d"), F.round("med", 8).alias("med"), F.round("mad", 8).alias("mad"), F.round("score", 6).alias("score"), "flag")
+    near = N.neighbour_statistics(rows, "sid", ["d"], "x", "y", 12000.0, 14, "value", late={"sid": base.sid()})
+    r = A.reliability_flags(near)
+    return r.select("sid", "n", F.round("max_d", 4).alias("max_d"), F.round("med", 8).alias("med"), F.round("mad", 8).alias("mad"), F.round("score", 6).alias("score"), "flag")
 
 
 @query("m24_feature_range", S + ", r AS (SELECT min(v) AS lo, quantile_cont(v, 0.01) AS q01, avg(v) AS mean, quantile_cont(v, 0.99) AS q99, max(v) AS hi FROM s WHERE yr < 1999) SELECT tile, COUNT(*) FILTER (WHERE v BETWEEN lo AND hi) AS n_in, COUNT(*) FILTER (WHERE v BETWEEN q01 AND q99) AS n_core FROM s, r GROUP BY tile")
