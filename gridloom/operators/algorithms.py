@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .relational import array_median, binned_pairs, hash_order
+from . import near
+from .relational import array_median, hash_order
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,19 +39,20 @@ def leakage_components(df: DataFrame, date: str, product: str) -> DataFrame:
     return df.join(named, F.concat(F.lit("d:"), F.col(date).cast("string")) == named["node"]).drop("node")
 
 
-def density_clusters(points: DataFrame, key: str, groups: list[str], x: str, y: str, eps: float, least: int) -> DataFrame:
+def density_clusters(points: DataFrame, key: str, groups: list[str], x: str, y: str, eps: float, least: int, most: int | None = None) -> DataFrame:
     """Density clusters within groups: (key, cluster, core). A core point has at least `least` points within eps,
     itself included; cores within eps share a cluster, named by its smallest core; a border point goes to its
-    smallest core's cluster; noise is dropped. Pairs come from a grid join, so no group meets in one task."""
-    a = points.select(F.col(key).alias("a"), *[F.col(g).alias(f"g_{g}") for g in groups], F.col(x).alias("ax"), F.col(y).alias("ay"))
-    b = points.select(F.col(key).alias("b"), *[F.col(g).alias(f"h_{g}") for g in groups], F.col(x).alias("bx"), F.col(y).alias("by"))
-    near = materialised(binned_pairs(a, b, "ax", "ay", "bx", "by", eps, [(f"g_{g}", f"h_{g}") for g in groups]).select("a", "b"), "near")
-    cores = near.groupBy(F.col("a").alias("core")).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("core")
-    linked = near.join(cores, near["a"] == cores["core"]).select("a", "b")
-    both = linked.join(cores.withColumnRenamed("core", "core_b"), F.col("b") == F.col("core_b")).select("a", "b")
-    named = components(both)
-    member = linked.join(named, linked["a"] == named["node"]).groupBy(F.col("b").alias(key)).agg(F.min(F.struct(F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("own"), F.col("a"), F.col("component"))).alias("m"))
-    return member.select(key, F.col("m.component").alias("cluster"), (F.col("m.own") == 0).alias("core"))
+    smallest core's cluster; noise is dropped. Groups of over `most` rows are clustered in blocks, whose clusters are joined
+    through the cores that they share."""
+    part = near.clusters(points, key, groups, x, y, eps, least, most)
+    largest = points.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if largest <= (most or near.MOST):
+        return part.select(key, "cluster", "core")
+    part = materialised(part, "clusters")
+    met = part.filter("core").groupBy(key).agg(F.min("cluster").alias("a"), F.collect_set("cluster").alias("b")).filter(F.size("b") > 1)
+    named = components(met.select("a", F.explode("b").alias("b")).distinct())
+    out = part.filter("own").join(named, part["cluster"] == named["node"], "left")
+    return out.select(key, F.coalesce("component", "cluster").alias("cluster"), "core")
 
 
 def principal_axis_score(df: DataFrame, groups: list[str], x: str, y: str, name: str = "score") -> DataFrame:

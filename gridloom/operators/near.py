@@ -291,3 +291,113 @@ def neighbour_statistics(df: DataFrame, key: str, groups: list[str], x: str, y:
         return pa.table({key: ids.take(pa.array(rows)), "x": number(mine), "n": pa.array(n.astype(np.int64)), "max_d": number(np.where(n > 0, far, np.nan)), "med": number(med), "mad": number(median(np.abs(o - med[:, None])))})
 
     return dealt(df, groups, x, y, radius, late or {}, stats, f"`{key}` string, x double, n bigint, max_d double, med double, mad double", most)
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each a root's number) after the roots of a and b have become one."""
+    while True:
+        one, two = label[a], label[b]
+        if (one == two).all():
+            return label
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while ((up := label[label]) != label).any():
+            label = up
+
+
+def linked(g, x, y, eps: float) -> np.ndarray:
+    """The component of each point, where points of a group at most eps apart are linked. Those of one cell whose diagonal is
+    eps are; two cells are compared only while they are not linked through others, by a few of their points first."""
+    order = np.lexsort((y, x, g))
+    new = np.ones(len(g), bool)
+    new[1:] = np.any([v[order][1:] != v[order][:-1] for v in (g, x, y)], axis=0)
+    place = np.empty(len(g), np.int64)
+    place[order] = np.cumsum(new) - 1
+    g, x, y = (v[order][new] for v in (g, x, y))
+    side = eps / np.sqrt(2) * (1 - 1e-9)
+    cx, cy = steps(x, side, 3), steps(y, side, 3)
+    ny = int(cy.max()) + 6
+    code = (g * (int(cx.max()) + 6) + cx + 3) * ny + cy + 3
+    by = np.argsort(code, kind="stable")
+    cells, start, size = np.unique(code[by], return_index=True, return_counts=True)
+    px, py = x[by], y[by]
+    label = np.arange(len(cells))
+
+    def touch(a, b, most: int):
+        """Which pairs of cells have points at most eps apart, among the first `most` of each."""
+        na, nb = np.minimum(size[a], most), np.minimum(size[b], most)
+        hit, n = np.zeros(len(a), bool), na * nb
+        for i in np.flatnonzero(n > BUDGET):
+            step = max(1, BUDGET // int(nb[i]))
+            u = slice(start[b[i]], start[b[i]] + nb[i])
+            for k in range(start[a[i]], start[a[i]] + na[i], step):
+                t = slice(k, min(k + step, start[a[i]] + na[i]))
+                if ((px[t, None] - px[None, u]) ** 2 + (py[t, None] - py[None, u]) ** 2 <= eps * eps).any():
+                    hit[i] = True
+                    break
+        rest = np.flatnonzero(n <= BUDGET)
+        part = np.cumsum(n[rest]) // BUDGET
+        for i in np.split(rest, np.flatnonzero(np.diff(part)) + 1):
+            if len(i):
+                r = np.repeat(np.arange(len(i)), n[i])
+                t = np.arange(len(r)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+                one, two = start[a[i]][r] + t // nb[i][r], start[b[i]][r] + t % nb[i][r]
+                near = (px[one] - px[two]) ** 2 + (py[one] - py[two]) ** 2 <= eps * eps
+                hit[i[np.unique(r[near])]] = True
+        return hit
+
+    half = sorted(((i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)), key=lambda o: o[0] ** 2 + o[1] ** 2)
+    for i, j in half:
+        at = np.minimum(np.searchsorted(cells, cells + i * ny + j), len(cells) - 1)
+        a = np.flatnonzero(cells[at] == cells + i * ny + j)
+        b = at[a]
+        for most in (5, len(px)):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            hit = touch(a, b, most)
+            label = _merged(label, a[hit], b[hit])
+    of = np.empty(len(x), np.int64)
+    of[by] = np.repeat(label, size)
+    return of[place]
+
+
+def clusters(df: DataFrame, key: str, groups: list[str], x: str, y: str, eps: float, least: int, most: int | None = None) -> DataFrame:
+    """(key, cluster, core, own) of density clusters as algorithms.density_clusters() has them, by tasks. In a group that is split
+    into blocks, cluster is that of the block, and the cores around it are there too, with own false."""
+
+    def call(table, code, px, py, own):
+        import pyarrow as pa
+
+        ids = table[key].combine_chunks()
+        good = np.flatnonzero((code >= 0) & ids.is_valid().to_numpy(zero_copy_only=False))
+        ids, g, ax, ay, mine = ids.take(pa.array(good)), code[good], px[good], py[good], own[good]
+        empty = pa.table({key: ids.slice(0, 0), "cluster": ids.slice(0, 0), "core": pa.array([], pa.bool_()), "own": pa.array([], pa.bool_())})
+        if not len(good):
+            return empty
+        same = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, first, rep, times = np.unique(g * len(ids) + same, return_index=True, return_inverse=True, return_counts=True)
+        rank = ranks(ids)
+        k = max(1, least - 1)
+        found, _ = nearest(g, ax, ay, eps, k, first, same if len(first) < len(ids) else None, lambda: rank)
+        core = times * (times + (found >= 0).sum(1)) >= least
+        if not core.any():
+            return empty
+        c = first[core]
+        label = linked(g[c], ax[c], ay[c], eps)
+        low = np.full(len(c), len(ids), np.int64)
+        np.minimum.at(low, label, rank[c])
+        name = np.full(len(first), -1, np.int64)
+        name[core] = low[label]
+        # a border point has fewer neighbours than `least`, so it knows them all
+        other = rep[np.maximum(found, 0)]
+        seen = (found >= 0) & core[other] & ~core[:, None]
+        rival = np.where(seen, rank[first[other]], len(ids))
+        border = seen.any(1)
+        best = np.take_along_axis(other, rival.argmin(1)[:, None], 1)[:, 0]
+        name[border] = name[best[border]]
+        out = np.flatnonzero((core | border & mine[first]))
+        row = np.empty(len(ids), np.int64)
+        row[rank] = np.arange(len(ids))
+        return pa.table({key: ids.take(pa.array(first[out])), "cluster": ids.take(pa.array(row[name[out]])), "core": pa.array(core[out]), "own": pa.array(mine[first[out]])})
+
+    kind = df.schema[key].dataType.simpleString()
+    return dealt(df.select(key, *groups, x, y), groups, x, y, 2 * eps, {}, call, f"`{key}` {kind}, cluster {kind}, core boolean, own boolean", most)

@@ -57,6 +57,29 @@ def test_no_pair_is_a_row(spark, sf, name):
     assert "Join" not in plan
 
 
+@pytest.mark.parametrize("most", [None, 30])
+@pytest.mark.parametrize("eps", [1.5, 4.0, 30.0])
+def test_clusters_equal_brute_force(spark, eps, most):
+    from gridloom.operators import algorithms as A
+
+    r = np.random.default_rng(8)
+    rows = [(f"p{i}", int(r.integers(2)), float(r.integers(60)), float(r.integers(60))) for i in range(260)]
+    rows += [(f"q{i}", 0, float(i), 90.0) for i in range(200)] + [(f"s{i}", 1, 7.0, 7.0) for i in range(50)] + [rows[0], rows[1], ("gone", None, 1.0, 1.0), ("place", 0, None, 1.0)]
+    df = spark.createDataFrame(rows, "id string, g int, x double, y double")
+    near = {}
+    for a in rows:
+        for b in rows:
+            if a[1] == b[1] and None not in (*a, *b) and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= eps * eps:
+                near.setdefault(a[0], []).append(b[0])
+    core = {a for a, v in near.items() if len(v) >= 4}
+    name = {a: a for a in core}
+    while (up := {a: min(name[b] for b in near[a] if b in core) for a in core}) != name:
+        name = up
+    want = {a: (name[a], True) for a in core} | {a: (name[min(b for b in v if b in core)], False) for a, v in near.items() if a not in core and core & set(v)}
+    got = A.density_clusters(df, "id", ["g"], "x", "y", eps, 4, most=most).collect()
+    assert len(got) == len(want) and {r.id: (r.cluster, r.core) for r in got} == want
+
+
 def test_dense_place(spark):
     """Copies at one place, and rows at many places close together, are not all compared with each other."""
     n = 20_000
