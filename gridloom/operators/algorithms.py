@@ -83,10 +83,6 @@ def balanced_chunks(df: DataFrame, groups: list[str], *order: Column, low: int,
     return out.withColumn(name, chunk.cast("bigint")).drop("__n", "__r", "__k")
 
 
-#: Components that a split is searched for: their vectors of counts come to the driver and go to every task.
-MAX_COMPONENTS = 200_000
-
-
 def _greedy(vectors, weights, fractions, seed: int):
     """One restart: components in the order of their size, with jitter, each to the split whose error stays least (the
     first on ties). Returns the objective and the split of each component."""
@@ -101,7 +97,7 @@ def _greedy(vectors, weights, fractions, seed: int):
     for c in np.argsort(-vectors[:, 0] * r.uniform(0.75, 1.25, len(vectors)), kind="stable"):
         # only the row that takes the component changes
         after = ((have + vectors[c] - target) / scale) ** 2 @ weights
-        best = int(np.argmin(np.round(after - part, 12)))
+        best = int(np.rint((after - part) * 1e12).argmin())
         out[c] = best
         have[best] += vectors[c]
         part[best] = after[best]
@@ -114,19 +110,16 @@ def balanced_component_split(rows: DataFrame, component: str, levels: list[str],
     million. Counts are summed in the cluster, and restarts run side by side. A level needs one component a split."""
     import numpy as np
 
-    size = rows.groupBy(component).agg(F.count("*").alias("n"))
-    if size.count() > MAX_COMPONENTS:
-        raise ValueError(f"more than {MAX_COMPONENTS} components")
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in levels]))
-    counts = rows.select(component, each.alias("x")).filter("x.level is not null").groupBy(component, "x.column", "x.level").count().collect()
-    names = [(r[0], r[1]) for r in size.orderBy(component).collect()]
-    at = {c: i for i, (c, _) in enumerate(names)}
-    kinds = sorted({(r[1], r[2]) for r in counts})
+    kinds = sorted((r[0], r[1]) for r in rows.select(each.alias("x")).filter("x.level is not null").select("x.column", "x.level").distinct().collect())
+    # a row a component and a whole number a level, in Arrow: 4 bytes a number on the driver and in each task
+    counts = [F.count_if(F.col(c).cast("string") == level).cast("int").alias(f"__k{i}") for i, (c, level) in enumerate(kinds)]
+    table = rows.groupBy(component).agg(F.count("*").cast("int").alias("__n"), *counts).orderBy(component).toArrow()
+    names = table[component]
     place = {k: 1 + i for i, k in enumerate(kinds)}
-    vectors = np.zeros((len(names), 1 + len(kinds)))
-    vectors[:, 0] = [n for _, n in names]
-    for r in counts:
-        vectors[at[r[0]], place[(r[1], r[2])]] = r[3]
+    vectors = np.zeros((table.num_rows, 1 + len(kinds)), np.int32)
+    for i in range(1 + len(kinds)):
+        vectors[:, i] = table.column(i + 1).to_numpy()
     lacking = [k for k in kinds if (vectors[:, place[k]] > 0).sum() < len(fractions)]
     if lacking:
         raise ValueError(f"levels in fewer components than there are splits: {lacking}")
@@ -139,15 +132,19 @@ def balanced_component_split(rows: DataFrame, component: str, levels: list[str],
         import pandas as pd
 
         for b in batches:
-            yield pd.DataFrame({"seed": b["id"], "objective": [_greedy(*data.value, seed + int(k))[0] for k in b["id"]]})
+            got = [_greedy(*data.value, seed + int(k)) for k in b["id"]]
+            yield pd.DataFrame({"seed": b["id"], "objective": [o for o, _ in got], "parts": [p.astype(np.int32).tobytes() for _, p in got]})
 
-    best = spark.range(restarts).repartition(min(restarts, 64)).mapInPandas(run, "seed bigint, objective double").orderBy("objective", "seed").first()
-    objective, parts = _greedy(vectors, weights, share, seed + best["seed"])
+    # the best restart brings its splits along
+    best = spark.range(restarts).repartition(min(restarts, 64)).mapInPandas(run, "seed bigint, objective double, parts binary").orderBy("objective", "seed").first()
+    objective, parts = best["objective"], np.frombuffer(bytes(best["parts"]), np.int32)
     if objective >= 1e6:
         raise ValueError("no restart gives every split every level")
+    import pyarrow as pa
+
+    splits = pa.array(list(fractions)).take(pa.array(parts))
     kind = rows.schema[component].dataType.simpleString()
-    splits = list(fractions)
-    return spark.createDataFrame([(c, splits[k]) for (c, _), k in zip(names, parts.tolist(), strict=True)], f"`{component}` {kind}, split string")
+    return spark.createDataFrame(pa.table({component: names, "split": splits}), f"`{component}` {kind}, split string")
 
 
 def impute_train_mean(df: DataFrame, train: Column, cols: list[str]) -> DataFrame:

@@ -80,6 +80,16 @@ def test_clusters_equal_brute_force(spark, eps, most):
     assert len(got) == len(want) and {r.id: (r.cluster, r.core) for r in got} == want
 
 
+def test_component_split_of_many_components(spark):
+    """More components than the 200,000 that were the limit."""
+    from gridloom.operators import algorithms as A
+
+    df = spark.range(201_000).select(F.col("id").alias("c"), (F.col("id") % 3).alias("mo"))
+    got = A.balanced_component_split(df, "c", ["mo"], {"train": 0.7, "val": 0.15, "test": 0.15}, restarts=1)
+    n = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
+    assert sum(n.values()) == 201_000 and abs(n["train"] - 140_700) < 300 and abs(n["val"] - 30_150) < 300
+
+
 def test_dense_place(spark):
     """Copies at one place, and rows at many places close together, are not all compared with each other."""
     n = 20_000
