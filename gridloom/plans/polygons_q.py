@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import polygons as P
+from ..operators import zonal as Z
 from . import base
 from .base import S, query
 
@@ -30,8 +31,8 @@ def _inside_sql(x: str, y: str) -> str:
 
 @query("j14_j22_g14_points_in_polygons", S + f", p AS ({_PLACE}) SELECT s_suppkey, COUNT(*) AS n, round(avg(v), 4) AS mean_v FROM s JOIN p ON x BETWEEN px - r AND px + r AND y BETWEEN py - r AND py + r WHERE {_inside_sql('x', 'y')} GROUP BY s_suppkey")
 def j14(t):
-    met = P.points_in_polygons(t.s.select("x", "y", "v"), _polygons(t), "x", "y", "ring", 2000.0)
-    return met.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean_v"))
+    met = Z.statistics_within(t.s.select("x", "y", "v"), _polygons(t), "x", "y", "ring", ["s_suppkey"], "v", 2000.0)
+    return met.select("s_suppkey", "n", F.round("mean", 4).alias("mean_v"))
 
 
 _CELLS = "SELECT *, unnest(range(CAST(floor((px - r) / 2000) AS BIGINT), CAST(floor((px + r) / 2000) AS BIGINT) + 1)) AS cx FROM p"
