@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.algorithms import components as components_of
@@ -188,27 +188,39 @@ def _prefixes(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("__copy", text).mapInArrow(run, "c bigint, n bigint, fp bigint, s array<bigint>").dropDuplicates(["c"])
 
 
-def _sets(docs: DataFrame, asked: DataFrame, text: str) -> DataFrame:
-    """(c, n, s): all shingles of the classes asked for."""
+def _texts(docs: DataFrame, asked: DataFrame, text: str) -> DataFrame:
+    """(c, t): the text of each class asked for, once. Texts are dealt out and not their shingles, which take two to three
+    times the room; who needs shingles makes them."""
+    asked = small(written(asked.select(F.col("c").alias("__copy")).distinct(), "asked"))
+    return docs.select("__copy", text).join(asked, "__copy", "left_semi").dropDuplicates(["__copy"]).toDF("c", "t")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The pairs (u, v) of classes whose shingle sets have a Jaccard similarity of NEAR or more."""
     small_batches(docs.sparkSession)
+    pairs = written(pairs, "pairs")
+    # read twice, with a pair's other text each time
+    texts = written(_texts(docs, pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))), text), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            some = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in some], pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["c", "n", "s"])
+            made: dict[int, np.ndarray] = {}
 
-    asked = small(written(asked.select(F.col("c").alias("__copy")).distinct(), "asked"))
-    some = docs.select("__copy", text).join(asked, "__copy", "left_semi")
-    return written(some.mapInArrow(run, "c bigint, n bigint, s array<bigint>").dropDuplicates(["c"]), "sets")
+            def of(c: int, t: str | None) -> np.ndarray:
+                if c not in made:
+                    made[c] = shingles(t)
+                return made[c]
 
+            u, v, t_u, t_v = (b.column(k).to_pylist() for k in range(4))
+            near = []
+            for k in range(len(u)):
+                a, z = of(u[k], t_u[k]), of(v[k], t_v[k])
+                near.append(len(np.intersect1d(a, z, assume_unique=True)) * sum(NEAR) >= (len(a) + len(z)) * NEAR[0])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(near, pa.bool_())), b.column(1).filter(pa.array(near, pa.bool_()))], ["u", "v"])
 
-def _linked(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The pairs (u, v) of classes whose shingle sets have a Jaccard similarity of NEAR or more."""
-    pairs = written(pairs, "pairs")
-    sets = _sets(docs, pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))), text)
-    side = lambda k: sets.select(F.col("c").alias(k), F.col("n").alias(f"n_{k}"), F.col("s").alias(f"s_{k}"))
+    side = lambda k: texts.select(F.col("c").alias(k), F.col("t").alias(f"t_{k}"))
     both = side("u").join(small(pairs), "u").join(side("v"), "v")
-    return both.filter(F.size(F.array_intersect("s_u", "s_v")) * sum(NEAR) >= (F.col("n_u") + F.col("n_v")) * NEAR[0]).select("u", "v")
+    return both.select("u", "v", "t_u", "t_v").mapInArrow(run, "u bigint, v bigint")
 
 
 def labels(sets: list[np.ndarray]) -> np.ndarray:
@@ -236,10 +248,9 @@ def labels(sets: list[np.ndarray]) -> np.ndarray:
         out = low
 
 
-def _group_links(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Links (u, v) within groups, all members against all in blocks of a bounded size. members: (kind, g, c)."""
-    sets = _sets(docs, members, text)
-    rows = members.join(sets.select("c", "n"), "c")
+def _group_links(members: DataFrame, first: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links (u, v) within groups, all members against all in blocks of a bounded size. members: (kind, g, c); first: (c, n)."""
+    rows = members.join(first.select("c", "n"), "c")
     size = rows.groupBy("kind", "g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     b, other = F.pmod(F.xxhash64("c"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     dealt = members.join(size, ["kind", "g"]).withColumn("b", b)
@@ -249,11 +260,11 @@ def _group_links(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
     def compare(t: pa.Table) -> pa.Table:
         c = t["c"].to_numpy()
-        top = labels([x.values.to_numpy() for x in t["s"]])
+        top = labels([shingles(x) for x in t["t"].to_pylist()])
         far = top != np.arange(len(c))
         return pa.table({"u": c[far], "v": c[top[far]]})
 
-    return sets.select("c", "s").join(small(dealt), "c").groupBy("kind", "g", "i", "j").applyInArrow(compare, "u bigint, v bigint")
+    return _texts(docs, members, text).join(small(dealt), "c").groupBy("kind", "g", "i", "j").applyInArrow(compare, "u bigint, v bigint")
 
 
 def near_classes(docs: DataFrame, text: str) -> DataFrame:
@@ -274,8 +285,10 @@ def near_classes(docs: DataFrame, text: str) -> DataFrame:
 
     # place and number of shingles in one number: these rows are the many
     lists = first.select("c", "n", F.posexplode("s").alias("pos", "s")).select("s", "c", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("at"))
-    many = lists.groupBy("s").agg(F.count("*").alias("k"), F.min("c").alias("h")).filter("k > 1").select("s", "h")
-    post = written(lists.join(many, "s").select("s", "c", F.shiftright("at", 32).alias("pos"), F.col("at").bitwiseAND((1 << 32) - 1).alias("n"), "h"), "lists")
+    # over a window, so that they are dealt out once; a list has one row of ids for each class that has its shingle
+    one = Window.partitionBy("s")
+    many = lists.withColumn("k", F.count("*").over(one)).withColumn("h", F.min("c").over(one)).filter("k > 1")
+    post = written(many.select("s", "c", F.shiftright("at", 32).alias("pos"), F.col("at").bitwiseAND((1 << 32) - 1).alias("n"), "h"), "lists")
     alike = lambda a, b: F.least(a, b) * NEAR[1] >= F.greatest(a, b) * NEAR[0]
 
     met = post.filter("c <> h").select("c", "n", "h").distinct().join(first.select(F.col("c").alias("h"), F.col("n").alias("h_n")), "h")
@@ -292,7 +305,7 @@ def near_classes(docs: DataFrame, text: str) -> DataFrame:
     members = written(members, "members")
     groups = written(hashed.unionByName(members.select(F.lit(1).alias("kind"), "g", "c")), "groups")
     with passing():
-        within = written(_group_links(groups, docs, text), "links", outlive=True)
+        within = written(_group_links(groups, first, docs, text), "links", outlive=True)
         roots = written(_components(first.select(F.col("c").alias("fp")), within), "clusters", outlive=True).select(F.col("fp").alias("c"), "root")
 
     # only lists that still hold several clusters

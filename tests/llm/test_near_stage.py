@@ -86,3 +86,24 @@ def test_stage_finds_its_links_on_the_tables(spark, sf):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     top = linked([set(simhash.shingles(t).tolist()) for _, t in rows])
     assert {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()} == {i for k, (i, _) in enumerate(rows) if top[k] == k}
+
+
+def shuffled(spark):
+    stages = spark._jvm.org.apache.spark.sql.SparkSession.active().sparkContext().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_groups_deal_out_texts_and_not_their_shingles(spark):
+    """A word takes one byte or two here, a shingle eight."""
+    r = random.Random(17)
+    texts = []
+    for _ in range(6):
+        base = [r.choice("abcdefgh") + r.choice("xyz") for _ in range(4000)]
+        for _ in range(12):
+            w = list(base)
+            for at in r.sample(range(4000), 20):
+                w[at] = "q"
+            texts.append(" ".join(w))
+    before = shuffled(spark)
+    assert simhash.keep_one(frame(spark, texts)).count() == 6
+    assert shuffled(spark) - before < 7 * sum(map(len, texts)), (shuffled(spark) - before) / sum(map(len, texts))
